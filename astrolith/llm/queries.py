@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolith.llm import bpe, survivors
+from astrolith.llm import bpe, langid, secrets, survivors
 from astrolith.runtime import read
 
 P5_TABLES = {
@@ -40,6 +40,42 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(read(spark, d, "documents"))
 
 
+def _p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.score(read(spark, d, "src_string_literals"), read(spark, d, "src_files")).where(
+        F.col("score") >= secrets.THRESHOLD
+    )
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Literals that hold an actual secret value."""
+    return _p2_scores(spark, d).select("id").distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The literals of p2_found with the secret taken out of their spelling."""
+    spans = _p2_scores(spark, d).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    text = read(spark, d, "src_string_literals").select("id", "content")
+    redact = F.udf(secrets.redact, "string")
+    return text.join(spans, "id").select("id", redact("content", "spans").alias("content"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Literals that hold a sentence of a human language, with that language."""
+    return langid.identify(read(spark, d, "src_string_literals")).select("id", "lang")
+
+
+def p4_file_share(spark: SparkSession, d: str) -> DataFrame:
+    """Per file: share of natural-language characters in all literal characters."""
+    t = read(spark, d, "src_string_literals")
+    # two partial sums a file and task: a file that holds most rows stays cheap
+    natural = langid.identify(t, keep=("file_id",)).groupBy("file_id").agg(F.sum("n_natural").alias("n_natural"))
+    total = t.groupBy("file_id").agg(F.sum(F.coalesce(F.length("content"), F.lit(0))).alias("n_chars"))
+    return total.join(natural, total["file_id"].eqNullSafe(natural["file_id"]), "left").select(
+        total["file_id"], "n_chars", F.coalesce("n_natural", F.lit(0)).alias("n_natural"),
+        F.when(F.col("n_chars") > 0, F.coalesce("n_natural", F.lit(0)) / F.col("n_chars")).otherwise(0.0).alias("share"),
+    )
+
+
 def _p5_sql(table: str) -> str:
     return "\nUNION ALL\n".join(
         f"""SELECT '{table}' AS table_name, usr, '{f}' AS field_name,
@@ -56,6 +92,10 @@ def _p5_value(f: str) -> str:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
+    "p4_found": p4_found,
+    "p4_file_share": p4_file_share,
     "p5_found": p5_found,
     "p5_functions": p5_functions,
     "p7_ids": p7_ids,
