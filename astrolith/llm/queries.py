@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolith.llm import bpe, langid, secrets, survivors
+from astrolith.llm import bpe, langid, leakage, secrets, survivors
 from astrolith.runtime import read
 
 P5_TABLES = {
@@ -76,6 +76,16 @@ def p4_file_share(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that repeat at least 15 consecutive words of an evaluation item."""
+    return leakage.find(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaking pages per evaluation item."""
+    return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
 def _p5_sql(table: str) -> str:
     return "\nUNION ALL\n".join(
         f"""SELECT '{table}' AS table_name, usr, '{f}' AS field_name,
@@ -99,6 +109,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_functions": p5_functions,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
 }
 
 SQL = {
