@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolith.llm import bpe, langid, leakage, secrets, survivors
+from astrolith.llm import bpe, langid, leakage, residue, secrets, survivors
 from astrolith.runtime import read
 
 P5_TABLES = {
@@ -86,6 +86,16 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages on which template residue or a viewer message stands."""
+    return residue.find(read(spark, d, "documents"))
+
+
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of near-duplicate residue segments and their pages."""
+    return residue.classes(read(spark, d, "documents"))
+
+
 def _p5_sql(table: str) -> str:
     return "\nUNION ALL\n".join(
         f"""SELECT '{table}' AS table_name, usr, '{f}' AS field_name,
@@ -111,6 +121,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_classes": p9_classes,
 }
 
 SQL = {
