@@ -268,12 +268,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def labelled(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Skeletons of all classes that a trusted label reaches.
 
-    Per bucket one leader is chosen, trusted ones first, and every other class
-    is compared with it; classes that it does not match are compared with all
-    members of the bucket.  So no link that could carry a label is left out,
-    and a large family of near-copies costs one comparison a member.
+    Labels travel in rounds from the classes labelled last to those without a
+    label.  Links between unlabelled classes carry nothing and are never made.
+    In each bucket the open classes are compared with one labelled class
+    first; only those that it does not match are compared with all others, so
+    a large family of near-copies costs one comparison a member and still no
+    link that could carry a label is left out.
     """
-    put = scratch.put
+    put, drop = scratch.put, scratch.drop
     nodes = put(
         rows.groupBy("skeleton").agg(
             F.max("trusted").alias("trusted"), F.min("node").alias("text"), F.min_by("sim", "node").alias("sim")
@@ -281,30 +283,26 @@ def labelled(rows: DataFrame, scratch: Scratch) -> DataFrame:
         "classes",
     )
     nodes = put(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    keyed = put(
-        nodes.select("id", "sim", "trusted", F.explode(_table_keys("sim")).alias("x")).select("id", "sim", "trusted", "x.t", "x.k"),
-        "keyed",
-    )
-    best = F.struct(~F.col("trusted"), F.col("id"))
-    leaders = keyed.groupBy("t", "k").agg(
-        F.min_by("id", best).alias("b"), F.min_by("sim", best).alias("sim_b"), F.count(F.lit(1)).alias("n")
-    ).where(F.col("n") > 1)
-    open_nodes = keyed.where(~F.col("trusted")).select("t", "k", F.col("id").alias("a"), F.col("sim").alias("sim_a"))
-    to_leader = put(open_nodes.join(leaders, ["t", "k"]).where(F.col("a") != F.col("b")).drop("n"), "stars")
-    first = put(_verified(to_leader, nodes), "links")
-    unmatched = to_leader.join(first, ["a", "b"], "left_anti").select("t", "k", "a", "sim_a")
-    members = keyed.select("t", "k", F.col("id").alias("b"), F.col("sim").alias("sim_b"))
-    second = _verified(unmatched.join(members, ["t", "k"]).where(F.col("a") != F.col("b")), nodes)
-    links = first.unionByName(second)
-    links = put(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    keys = lambda df: df.select("id", "sim", F.explode(_table_keys("sim")).alias("x")).select("id", "sim", "x.t", "x.k")
+    as_open = lambda df: df.select("t", "k", F.col("id").alias("a"), F.col("sim").alias("sim_a"))
+    as_known = lambda df: df.select("t", "k", F.col("id").alias("b"), F.col("sim").alias("sim_b"))
+
     known = put(nodes.where("trusted").select("id"), "known")
-    news = known
+    front = nodes.where("trusted")
+    unlabelled = nodes.where(~F.col("trusted"))
     while True:
-        reached = links.join(news.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
-        news = put(reached.join(known, "id", "left_anti"), "news")
+        labels = put(as_known(keys(front)), "front")
+        leaders = labels.groupBy("t", "k").agg(F.min_by("sim_b", "b").alias("sim_b"), F.min("b").alias("b"))
+        first = put(_verified(as_open(keys(unlabelled)).join(leaders, ["t", "k"]), nodes).select(F.col("a").alias("id")).distinct(), "first")
+        still = unlabelled.join(first, "id", "left_anti")
+        second = _verified(as_open(keys(still)).join(labels, ["t", "k"]), nodes).select(F.col("a").alias("id")).distinct()
+        news = put(first.unionByName(second), "news")
+        drop(labels)
         if not news.limit(1).count():
             return nodes.join(known, "id", "left_semi").select("skeleton")
         known = put(known.unionByName(news), "known")
+        front = nodes.join(news, "id", "left_semi")
+        unlabelled = nodes.join(known, "id", "left_anti")
 
 
 def find(documents: DataFrame) -> DataFrame:
