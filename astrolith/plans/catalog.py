@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from astrolith.plans import problems
+from astrolith.plans import corpus, problems, relational
 
-QUERIES = dict(problems.QUERIES)
-SQL = dict(problems.SQL)
+QUERIES = {**relational.QUERIES, **corpus.QUERIES, **problems.QUERIES}
+SQL = {**relational.SQL, **corpus.SQL, **problems.SQL}
+
+caller_callee_top = corpus.caller_callee_top
