@@ -183,6 +183,8 @@ class FactSession:
     def query(self, sql: str, dialect_name: str = "spark") -> DataFrame:
         """The statement's result; raises ``SessionError`` with the reason."""
         try:
+            if "sqlite_master" in sql or "pragma" in sql.lower():
+                self._catalog_views()  # another session may have set them
             if dialect_name == "compat":
                 return self._compat(sql)
             return self.spark.sql(dialect.check_statement(sql))
@@ -243,8 +245,12 @@ def _wrap_bare_column(sql: str, why: dict[str, str]) -> str:
     """Wrap the column that the analyser names: any row's value, except that a
     lone min() or max() decides the row."""
     name = why.get("expression", "").strip('"').split(".")[-1].strip("`")
-    if not name:
-        raise ValueError("a column is neither grouped nor aggregated")
+    if not name:  # no GROUP BY at all: the first plain column of the list
+        items = re.search(r"(?is)\bselect\b(.*?)\bfrom\b", sql)
+        plain = [m for m in (re.fullmatch(r"(?:\w+\.)?`?(\w+)`?(?:\s+(?:as\s+)?\w+)?", x.strip(), re.I) for x in items[1].split(",")) if m] if items else []
+        if not plain:
+            raise ValueError("a column is neither grouped nor aggregated")
+        name = plain[0][1]
     lone = re.findall(r"(?i)\b(min|max)\s*\(\s*([\w.]+)\s*\)", sql)
     column = rf"(?<![\w.(])((?:\w+\.)?`?{re.escape(name)}`?)(?![\w(])"
     head = re.search(r"(?is)\bselect\b(.*?)\bfrom\b", sql)

@@ -19,7 +19,7 @@ VERSION = 1
 
 def read(spark: SparkSession, folder: str, names=tuple(TABLES)) -> dict[str, DataFrame]:
     """The fact tables that the folder holds."""
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names if os.path.exists(f"{folder}/{n}.parquet") or "://" in folder}
+    return {n: spark.read.schema(TABLES[n].schema).parquet(f"{folder}/{n}.parquet") for n in names if os.path.exists(f"{folder}/{n}.parquet") or "://" in folder}
 
 
 def write(tables: dict[str, DataFrame], folder: str) -> None:
