@@ -12,6 +12,8 @@ are put together with a union.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,9 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
     # one row on the right: a scalar, not a growing side
-    return (
-        exact.join(F.broadcast(total), F.col("n_rows") >= F.lit(float(share)) * F.col("total"))
-        .select("key_value", "n_rows")
-    )
+    # decimal, so that a tie at the threshold is one
+    least = F.lit(Decimal(str(share))) * F.col("total").cast("decimal(20,0)")
+    return exact.join(F.broadcast(total), F.col("n_rows") >= least).select("key_value", "n_rows")
 
 
 def per_key_stats(

@@ -27,26 +27,31 @@ def namespace_links(spark: SparkSession, d: str) -> DataFrame:
 TREES = {"inheritance": inheritance_links, "namespace": namespace_links}
 
 
-def _per_tree(build) -> DataFrame:
+def _forest(spark: SparkSession, d: str) -> Forest:
+    """One forest of all trees, so that they share the rounds; keys carry their tree's mark."""
     out = None
-    for tree, links in TREES.items():
-        part = build(links).select(F.lit(tree).alias("tree"), "*")
+    for mark, links in zip("in", TREES.values()):
+        part = links(spark, d).select(*[
+            F.when(F.col(c) != "", F.concat(F.lit(mark), F.col(c))).alias(c) for c in ("child", "parent")])
         out = part if out is None else out.unionByName(part)
-    return out
+    return Forest(out)
+
+
+def _tree_and(*keys: str):
+    tree = F.when(F.substring("node_key", 1, 1) == "i", "inheritance").otherwise("namespace").alias("tree")
+    return [tree, *[F.expr(f"substring({k}, 2)").alias(k) for k in keys]]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Each node with each root it reaches, and the nodes at or below a loop."""
-    return _per_tree(lambda links: Forest(links(spark, d)).distances()).select(
-        "tree", "node_key", "root_key", "depth"
-    )
+    return _forest(spark, d).distances().select(*_tree_and("node_key", "root_key"), "depth")
 
 
 def p1_nested(spark: SparkSession, d: str) -> DataFrame:
     """Path, depth, root, nested-set range and number of nodes below, per node."""
-    return _per_tree(lambda links: Forest(links(spark, d)).nested(with_path=True)).select(
-        "tree", "node_key", "parent_key", "root_key", "depth", "pre", "size", "on_loop",
-        F.array_join("path", " > ").alias("path"),
+    return _forest(spark, d).nested(with_path=True).select(
+        *_tree_and("node_key", "parent_key", "root_key"), "depth", "pre", "size", "on_loop",
+        F.array_join(F.transform("path", lambda k: F.substring(k, 2, 1 << 30)), " > ").alias("path"),
     )
 
 
@@ -163,7 +168,23 @@ QUERIES = {
     "p6_caller_stats": p6_caller_stats,
 }
 
+_P1_TREE = """
+ e_{t} AS (SELECT DISTINCT c, p FROM ({links}) x),
+ n_{t} AS (SELECT c AS n FROM e_{t} UNION SELECT p FROM e_{t}),
+ r_{t} AS (SELECT n AS node, n AS anc, CAST(0 AS BIGINT) AS depth FROM n_{t}
+   UNION SELECT r.node, e.p, r.depth + 1 FROM r_{t} r JOIN e_{t} e ON e.c = r.anc WHERE r.depth < (SELECT COUNT(*) FROM n_{t})),
+ d_{t} AS (SELECT node, anc, MIN(depth) AS depth FROM r_{t} GROUP BY node, anc),
+ l_{t} AS (SELECT DISTINCT e.c AS node FROM e_{t} e JOIN d_{t} d ON d.node = e.p AND d.anc = e.c),
+ o_{t} AS (SELECT '{t}' AS tree, node AS node_key, anc AS root_key, depth FROM d_{t} WHERE anc NOT IN (SELECT c FROM e_{t})
+   UNION ALL SELECT DISTINCT '{t}', d.node, '', CAST(-1 AS BIGINT) FROM d_{t} d JOIN l_{t} l ON l.node = d.anc)"""
+
 SQL = {
+    # a shortest way has fewer links than there are nodes, which bounds the recursion
+    "p1_found": "WITH RECURSIVE" + ",".join(_P1_TREE.format(t=t, links=links) for t, links in (
+        ("inheritance", "SELECT derived_usr AS c, base_usr AS p FROM src_inheritance WHERE derived_usr <> '' AND base_usr <> ''"),
+        ("namespace", "SELECT CAST(id AS VARCHAR) AS c, CAST(parent_id AS VARCHAR) AS p FROM src_namespaces WHERE id <> 0 AND parent_id <> 0 "
+         "UNION ALL SELECT usr, CAST(namespace_id AS VARCHAR) FROM src_classes WHERE usr <> '' AND namespace_id <> 0"),
+    )) + " SELECT * FROM o_inheritance UNION ALL SELECT * FROM o_namespace",
     "p1_descendants": """
 WITH RECURSIVE link AS (
   SELECT DISTINCT CAST(id AS VARCHAR) AS c, CAST(parent_id AS VARCHAR) AS p FROM src_namespaces WHERE id <> 0 AND parent_id <> 0
