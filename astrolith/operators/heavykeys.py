@@ -110,8 +110,10 @@ def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", sh
 
     ``small`` must hold each key at most once, so the broadcast part has at
     most ``1 / share`` rows.  Other keys are joined by an ordinary shuffle.
-    ``how`` is inner, left, left_semi or left_anti.
+    ``how`` is inner, left, left_semi or left_anti.  Columns of ``small`` that
+    ``big`` has too are left out.
     """
+    small = small.select(key, *[c for c in small.columns if c not in big.columns])
     heavy = heavy_values(big, key, share)
     if not heavy:
         return big.join(small, key, how)

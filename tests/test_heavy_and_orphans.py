@@ -42,3 +42,21 @@ def test_orphan_states(spark):
 
     assert run(refs) == {(2, "deleted"), (3, "missing"), (4, "late"), (8, "late"), (10, "missing")}
     assert run(refs.limit(0)) == set()
+
+
+def test_clashing_columns(spark):
+    """Columns named like the operators' own do no harm."""
+    df = spark.createDataFrame([("a", "p", 1, 7, 8, "x")] * 3, "k string, p string, file_id long, n_rows long, total long, hk string")
+    assert [tuple(r) for r in heavykeys.heavy_keys(df, "k", 0.5).collect()] == [("a", 3)]
+    assert [tuple(r) for r in heavykeys.per_key_stats(df, "k", "p").collect()] == [("a", 3, 1, 1, 1)]
+    small = spark.createDataFrame([("a", 5, 6)], "k string, n_rows long, w long")
+    assert heavykeys.skew_join(df, small, "k").columns == [*df.columns, "w"]
+    refs = spark.createDataFrame([(1, "z", datetime(2025, 1, 1), "x", "y")], "seq long, base string, loaded_at timestamp, key string, month string")
+    gone = spark.createDataFrame([], "key string")
+    out = orphans.orphans([orphans.Reference("t", refs, "base", "s")], {"s": [(refs.limit(0), "key")]}, {"s": gone}).collect()
+    assert [(r.seq, r.state) for r in out] == [(1, "missing")]
+
+
+def test_ties_at_the_threshold_are_heavy(spark):
+    df = spark.createDataFrame([("a",)] * 7 + [(f"r{i}",) for i in range(343)], "k string")
+    assert [tuple(r) for r in heavykeys.heavy_keys(df, "k", 0.02).collect()] == [("a", 7)]
