@@ -33,6 +33,8 @@ from astrolith.runtime import workers_can_import
 
 #: documented bounds of the fitted part
 SAMPLE = 20_000
+#: longer texts are left out of the sample (never out of the result)
+SAMPLE_LENGTH = 4_000
 DICTIONARY_BYTES = 48_000
 LEVEL = 12
 MIN_WORDS = 4
@@ -162,7 +164,7 @@ class Identifier:
 def fit(df: DataFrame, content: str = "content", sample: int = SAMPLE, rounds: int = 2) -> dict[str, list[str]]:
     """Spans of a bounded sample that win clearly, by language (and code)."""
     rows = (
-        df.select(F.col(content).alias("c")).where(F.length(F.trim("c")) > 8)
+        df.select(F.col(content).alias("c")).where(F.length(F.trim("c")).between(9, SAMPLE_LENGTH))
         .select("c", F.xxhash64("c").alias("h")).orderBy("h", "c").limit(sample).select("c").collect()
     )
     return self_train([r["c"] for r in rows], rounds)

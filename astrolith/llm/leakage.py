@@ -48,6 +48,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.words, self.slots, self.ids = [], [], []
+        self.longest = max([len(t.split()) for _, t in rows if t], default=0)
         raw = [(i, _WORD.findall(t)) for i, t in rows if t]
         raw = [(i, w) for i, w in raw if len(w) >= MIN_WORDS]
         seen: Counter = Counter()
@@ -81,6 +82,17 @@ class Items:
             return "#"
         return folded if folded in self.vocabulary else "@"
 
+    def _windows(self, regions: list[tuple[int, int]], n: int):
+        """Regions with a margin; long ones in windows that overlap by more
+        than any item's passage with its adverts can span."""
+        reach = 2 * self.longest + 4 * MAX_INSERT
+        for a, b in regions:
+            a, b = max(0, a - MIN_WORDS), min(n, b + 3 + MIN_WORDS)
+            while b - a > 3 * reach:
+                yield a, a + 2 * reach
+                a += reach
+            yield a, b
+
     def leaks(self, text: str, xs=None, ws=None) -> list[int]:
         """Items that the page leaks."""
         words = _WORD.findall(joined(reading_order(text, xs, ws)))
@@ -101,10 +113,7 @@ class Items:
             else:
                 regions.append([j, j, 1])
         found = set()
-        for a, b, n in regions:
-            if n < 2:
-                continue
-            a, b = max(0, a - MIN_WORDS), min(len(folded), b + 3 + MIN_WORDS)
+        for a, b in self._windows([(a, b) for a, b, n in regions if n > 1], len(folded)):
             shared: Counter = Counter()
             for s in set(folded[a:b]):
                 for k in self.by_slot.get(s, ()):

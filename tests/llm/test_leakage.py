@@ -88,3 +88,9 @@ def test_frames(spark, data):
     assert got == {(1, 1), (5, 1), (5, 2)}
     assert leakage.find(docs.limit(0), items).count() == 0
     assert leakage.find(docs, items.limit(0)).count() == 0
+
+
+def test_long_page_of_many_items(data):
+    rows, items = data
+    page = (" . ".join(t for _, t in rows) + " . ") * 12
+    assert items.leaks(page) == [i for i, _ in rows]
