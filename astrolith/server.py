@@ -1,4 +1,4 @@
-"""HTTP over a session: /, /help, /status, /query, /shutdown.
+"""HTTP over a session: /, /help, /status, /query, /tools, /shutdown.
 
 A Spark session takes concurrent queries, so requests are not queued.  With a
 token set, every request but /help must carry it.
@@ -11,6 +11,7 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from astrolith import tools
 from astrolith.render import json_envelope
 from astrolith.session import FactSession
 
@@ -20,6 +21,7 @@ MAX_BODY = 1_000_000
 HELP = """GET /help      this text
 GET /status    attached schemas and tables
 POST /query    one SQL statement as the body; JSON comes back
+POST /tools    one JSON-RPC message of a language-model client
 POST /shutdown stop the server
 """
 
@@ -65,6 +67,9 @@ def make_server(session: FactSession, host: str = "127.0.0.1", port: int = 8080,
             if self.path == "/query":
                 columns, rows, error = session.exec(body)
                 self._send(400 if error else 200, json_envelope(columns, rows, error))
+            elif self.path == "/tools":
+                reply = tools.handle(session, body)
+                self._send(200 if reply else 202, reply or "")
             elif self.path == "/shutdown":
                 self._send(200, json.dumps({"success": True}))
                 threading.Thread(target=self.server.shutdown, daemon=True).start()

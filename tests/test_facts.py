@@ -111,6 +111,10 @@ def test_prefer_definition(spark):
     ("SELECT name, MIN(line) FROM enums", [("Status", 25)]),
     ("SELECT name FROM sqlite_master WHERE name = 'calls'", [("calls",)]),
     ("SELECT 'it''s; LIKE' AS s", [("it's; LIKE",)]),
+    ("SELECT substr('hello', 0, 2), ltrim('xa', 'x'), char(72, 105), typeof(1), typeof('a'), typeof(NULL), quote('o''k')", [("h", "a", "Hi", "integer", "text", "null", "'o''k'")]),
+    ("SELECT date('2024-02-28', '+2 days'), strftime('%Y/%m', '2024-02-03 04:05:06'), datetime(0, 'unixepoch'), unixepoch('1970-01-02')",
+     [("2024-03-01", "2024/02", "1970-01-01 00:00:00", 86400)]),
+    ("SELECT date('2024-02-28', 'start of month'), julianday('2000-01-01 12:00:00'), json_extract('{\"a\": {\"b\": 3}}', '$.a.b')", [("2024-02-01", 2451545.0, "3")]),
 ])
 def test_dialect(project, sql, want):
     assert ask(project, sql) == want

@@ -76,6 +76,11 @@ def test_server(spark):
     assert "srv" in json.loads(call("/status")[1])["schemas"]
     assert json.loads(call("/query", "SELECT COUNT(*) AS n FROM srv_enums")[1])["rows"] == [["2"]]
     assert call("/query", "DROP TABLE x")[0] == 400
+    rpc = lambda m, **p: json.loads(call("/tools", json.dumps({"jsonrpc": "2.0", "id": 1, "method": m, "params": p}))[1])
+    assert [t["name"] for t in rpc("tools/list")["result"]["tools"]] == ["query", "ask"]
+    assert "Status" in rpc("tools/call", name="query", arguments={"sql": "SELECT name FROM srv_enums"})["result"]["content"][0]["text"]
+    assert rpc("tools/call", name="ask", arguments={"text": "what is here?"})["result"]["isError"] is True
+    assert rpc("nope")["error"]["code"] == -32601 and call("/tools", "{")[0] == 200
     assert call("/shutdown", " ")[0] == 200
 
 
@@ -99,3 +104,14 @@ def test_stale_and_windows(spark):
     assert sorted(r.path for r in watch.stale(facts, files).collect()) == ["a", "c"]
     e = spark.createDataFrame([(t, "x"), (datetime(2025, 1, 1, 10, 30), "x"), (datetime(2025, 1, 1, 12), "y")], "ts timestamp, k string")
     assert sorted((r.start.hour, r.k, r.n) for r in watch.windowed_counts(e, "ts", "k").collect()) == [(10, "x", 2), (12, "y", 1)]
+
+
+def test_settings(tmp_path):
+    from astrolith import settings
+
+    f = str(tmp_path / "x" / "s.json")
+    assert settings.load(f) == settings.Settings()
+    settings.save(settings.Settings(provider="p", timeout_ms=5), f)
+    assert (settings.load(f).provider, settings.load(f).timeout_ms) == ("p", 1000)
+    (tmp_path / "x" / "s.json").write_text("{broken")
+    assert settings.load(f) == settings.Settings()
