@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from astrolith.runtime import Scratch
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the given order.
@@ -41,15 +43,17 @@ def remap(df: DataFrame, ids: DataFrame, key: str, into: str) -> DataFrame:
 def resequence(df: DataFrame, order: list[str], into: str) -> DataFrame:
     """Dense ids 1..n in the given total order, without one task for all rows.
 
-    Rows are range-partitioned and sorted in their partition; the partitions'
-    counts (one row each) give the offsets that are added to the local number.
+    Rows are range-partitioned, sorted and numbered in their partition, and
+    written once: a second evaluation might cut the ranges elsewhere.  The
+    partitions' counts (one row each) give the offsets that are added.
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    local = placed.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)).cast("bigint"))
-    counts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+    numbered = placed.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)).cast("bigint"))
+    local = Scratch(spark, "resequence").put(numbered, "local")
+    counts = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     # as many rows as partitions
     sums = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__p", F.coalesce(F.sum("__c").over(sums), F.lit(0)).alias("__off"))
-    return local.join(F.broadcast(offsets), "__p").withColumn(into, F.col("__n") + F.col("__off")).drop("__p", "__n", "__off", "__c")
+    return local.join(F.broadcast(offsets), "__p").withColumn(into, F.col("__n") + F.col("__off")).drop("__p", "__n", "__off")
