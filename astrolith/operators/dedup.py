@@ -49,8 +49,10 @@ def resequence(df: DataFrame, order: list[str], into: str) -> DataFrame:
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    numbered = placed.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)).cast("bigint"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # partition in the upper bits, place in the sorted partition in the lower 33
+    numbered = placed.withColumn("__m", F.monotonically_increasing_id())
+    numbered = numbered.withColumn("__p", F.shiftright("__m", 33)).withColumn("__n", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__m")
     local = Scratch(spark, "resequence").put(numbered, "local")
     counts = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     # as many rows as partitions
