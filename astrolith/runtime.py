@@ -86,7 +86,9 @@ class Scratch:
 def present(column: str):
     """True where a text or number refers to something: not NULL, '' or 0."""
     c = F.col(column)
-    return c.isNotNull() & (c.cast("string") != "") & (c.cast("string") != "0")
+    text = c.cast("string")
+    # the type is known when the query is planned, so one branch remains
+    return c.isNotNull() & F.when(F.typeof(c) == "string", text != "").otherwise(text != "0")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
