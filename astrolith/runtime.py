@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="astrolith-")
+        atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -48,14 +50,16 @@ class Scratch:
 
     ``put`` writes a frame and returns the frame that reads it back.  ``drop``
     removes tables that a loop has left behind.  What is still there when the
-    Spark context ends is removed then.
+    driver's JVM ends is removed then.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/astrolith/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        atexit.register(self.close)
+        fs, p = self._at(self.root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
@@ -71,16 +75,14 @@ class Scratch:
             if path:
                 self._delete(path)
 
-    def close(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the context is gone
-            pass
-
-    def _delete(self, path: str) -> None:
+    def _at(self, path: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)
 
 
 def present(column: str):
