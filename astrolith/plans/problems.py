@@ -55,6 +55,11 @@ def p1_nested(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The nested view without its positions, which SQL can check."""
+    return p1_nested(spark, d).drop("pre")
+
+
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All classes and namespaces below each namespace, with their distance."""
     nested = Forest(namespace_links(spark, d)).nested()
@@ -160,6 +165,7 @@ FROM c WHERE k IS NOT NULL GROUP BY k
 QUERIES = {
     "p1_found": p1_found,
     "p1_nested": p1_nested,
+    "p1_paths": p1_paths,
     "p1_descendants": p1_descendants,
     "p3_found": p3_found,
     "p3_report": p3_report,
@@ -178,13 +184,28 @@ _P1_TREE = """
  o_{t} AS (SELECT '{t}' AS tree, node AS node_key, anc AS root_key, depth FROM d_{t} WHERE anc NOT IN (SELECT c FROM e_{t})
    UNION ALL SELECT DISTINCT '{t}', d.node, '', CAST(-1 AS BIGINT) FROM d_{t} d JOIN l_{t} l ON l.node = d.anc)"""
 
+_P1_PATHS = """
+ e_{t} AS (SELECT c, MIN(p) AS p FROM ({links}) x GROUP BY c),
+ n_{t} AS (SELECT c AS n FROM ({links}) x UNION SELECT p FROM ({links}) y),
+ w_{t} AS (SELECT n AS node, n AS root, CAST(0 AS BIGINT) AS depth, n AS path FROM n_{t} WHERE n NOT IN (SELECT c FROM e_{t})
+   UNION ALL SELECT e.c, w.root, w.depth + 1, w.path || ' > ' || e.c FROM w_{t} w JOIN e_{t} e ON e.p = w.node),
+ a_{t} AS (SELECT node AS anc, node FROM w_{t} UNION ALL SELECT e.p, a.node FROM a_{t} a JOIN e_{t} e ON e.c = a.anc),
+ s_{t} AS (SELECT anc, COUNT(*) AS size FROM a_{t} GROUP BY anc),
+ o_{t} AS (SELECT '{t}' AS tree, n.n AS node_key, e.p AS parent_key, w.root AS root_key, w.depth, s.size,
+   CASE WHEN w.node IS NULL THEN 1 ELSE 0 END AS on_loop, w.path
+   FROM n_{t} n LEFT JOIN e_{t} e ON e.c = n.n LEFT JOIN w_{t} w ON w.node = n.n LEFT JOIN s_{t} s ON s.anc = n.n)"""
+
+_P1_LINKS = (
+    ("inheritance", "SELECT derived_usr AS c, base_usr AS p FROM src_inheritance WHERE derived_usr <> '' AND base_usr <> ''"),
+    ("namespace", "SELECT CAST(id AS VARCHAR) AS c, CAST(parent_id AS VARCHAR) AS p FROM src_namespaces WHERE id <> 0 AND parent_id <> 0 "
+     "UNION ALL SELECT usr, CAST(namespace_id AS VARCHAR) FROM src_classes WHERE usr <> '' AND namespace_id <> 0"),
+)
+
 SQL = {
+    "p1_paths": "WITH RECURSIVE" + ",".join(_P1_PATHS.format(t=t, links=links) for t, links in _P1_LINKS)
+    + " SELECT * FROM o_inheritance UNION ALL SELECT * FROM o_namespace",
     # a shortest way has fewer links than there are nodes, which bounds the recursion
-    "p1_found": "WITH RECURSIVE" + ",".join(_P1_TREE.format(t=t, links=links) for t, links in (
-        ("inheritance", "SELECT derived_usr AS c, base_usr AS p FROM src_inheritance WHERE derived_usr <> '' AND base_usr <> ''"),
-        ("namespace", "SELECT CAST(id AS VARCHAR) AS c, CAST(parent_id AS VARCHAR) AS p FROM src_namespaces WHERE id <> 0 AND parent_id <> 0 "
-         "UNION ALL SELECT usr, CAST(namespace_id AS VARCHAR) FROM src_classes WHERE usr <> '' AND namespace_id <> 0"),
-    )) + " SELECT * FROM o_inheritance UNION ALL SELECT * FROM o_namespace",
+    "p1_found": "WITH RECURSIVE" + ",".join(_P1_TREE.format(t=t, links=links) for t, links in _P1_LINKS) + " SELECT * FROM o_inheritance UNION ALL SELECT * FROM o_namespace",
     "p1_descendants": """
 WITH RECURSIVE link AS (
   SELECT DISTINCT CAST(id AS VARCHAR) AS c, CAST(parent_id AS VARCHAR) AS p FROM src_namespaces WHERE id <> 0 AND parent_id <> 0
