@@ -12,7 +12,8 @@ Nodes that the upward pass never finishes hang on a loop.  They, and nodes
 below a node with several parents, may reach several roots; for this part of
 the graph only, root distances come from doubling over (node, ancestor) pairs
 that stops at the first node outside the part, where the nested-set depth
-takes over.
+takes over.  ``Forest.descendants`` divides the graph in the same way: ranges
+for the nodes with one chain of ancestors, pairs over all links for the others.
 
 Defined results: links with a missing end are no links; repeated links count
 once; a node linked to itself is a loop; empty input gives empty output; NULL
@@ -222,9 +223,68 @@ class Forest:
         )
         return reached.unionByName(looped)
 
+    def descendants(self) -> DataFrame:
+        """(ancestor_key, node_key, distance): every node with each node below it
+        over all links, and the fewest links between them.
+
+        A node on a loop is below itself, at the length of its shortest loop.
+        """
+        put, drop = self.scratch.put, self.scratch.drop
+        key = self.nodes.select("id", F.col("key").alias("node_key"))
+        plain = self.up.where(F.col("ptr").isNull() & ~F.col("mixed")).select("id")
+        part = put(self.up.where(F.col("ptr").isNotNull() | F.col("mixed")).select("id"), "part")
+        # the ancestors of a plain node are plain, so ranges give all of them
+        ranges = self.nested().join(plain.join(key, "id").select("node_key"), "node_key", "left_semi")
+        ranges = put(ranges, "ranges")
+        above = put(descendants(ranges, ranges), "above")
+        inside = self.links.join(part.withColumnRenamed("id", "child"), "child", "left_semi")
+        walks = put(
+            inside.join(part.withColumnRenamed("id", "parent"), "parent", "left_semi")
+            .select(F.col("child").alias("v"), F.col("parent").alias("u")),
+            "walks",
+        )
+        exits = put(
+            inside.join(plain.withColumnRenamed("id", "parent"), "parent")
+            .select(F.col("child").alias("v"), F.col("parent").alias("b")),
+            "exits",
+        )
+        # pairs: up to ``step`` links; walks: exactly ``step``
+        pairs, step, seen = put(walks.withColumn("d", F.lit(1).cast("long")), "pairs"), 1, 0
+        while (now := pairs.count()) != seen:
+            seen = now
+            longer = walks.join(pairs.select(F.col("v").alias("u"), F.col("u").alias("w"), "d"), "u").select(
+                "v", F.col("w").alias("u"), (F.col("d") + F.lit(step)).alias("d")
+            )
+            new_pairs = put(pairs.unionByName(longer).groupBy("v", "u").agg(F.min("d").alias("d")), "pairs")
+            new_walks = put(
+                walks.join(walks.select(F.col("v").alias("u"), F.col("u").alias("w")), "u")
+                .select("v", F.col("w").alias("u")).distinct(),
+                "walks",
+            )
+            drop(pairs, walks)
+            pairs, walks, step = new_pairs, new_walks, step * 2
+        one = F.lit(1).cast("long")
+        left = (
+            exits.select("v", "b", one.alias("d"))
+            .unionByName(pairs.join(exits.withColumnRenamed("v", "u"), "u").select("v", "b", (F.col("d") + one).alias("d")))
+            .groupBy("v", "b").agg(F.min("d").alias("d"))
+        )
+        named = lambda df, a: (
+            df.join(key.withColumnRenamed("id", "v"), "v")
+            .join(self.nodes.select(F.col("id").alias(a), F.col("key").alias("ancestor_key")), a)
+            .select("ancestor_key", "node_key", F.col("d").alias("distance"))
+        )
+        left = put(named(left, "b"), "left")
+        further = left.withColumnRenamed("ancestor_key", "b").join(
+            above.select(F.col("node_key").alias("b"), "ancestor_key", F.col("distance").alias("more")), "b"
+        ).select("ancestor_key", "node_key", (F.col("distance") + F.col("more")).alias("distance"))
+        outside = left.unionByName(further).groupBy("ancestor_key", "node_key").agg(F.min("distance").alias("distance"))
+        return above.unionByName(named(pairs, "u")).unionByName(outside)
+
 
 def descendants(nested: DataFrame, queries: DataFrame) -> DataFrame:
-    """(ancestor_key, node_key, distance) of all nodes below each queried node.
+    """(ancestor_key, node_key, distance) of all nodes below each queried node
+    in the spanning forest; ``Forest.descendants`` follows all links.
 
     ``nested`` is ``Forest.nested()``, ``queries`` has node_key.  A range is
     cut into bins of BIN positions, so the join is an equality on root and bin

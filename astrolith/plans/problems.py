@@ -61,12 +61,17 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """All classes and namespaces below each namespace, with their distance."""
+    """All classes and namespaces below each namespace with a root, with their distance."""
     nested = Forest(namespace_links(spark, d)).nested()
     asked = read(spark, d, "src_namespaces").select(F.col("id").cast("string").alias("node_key"))
     return descendants(nested, asked)
 
 
+def p1_tree_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes below each node of both trees over all links, with the fewest links between them."""
+    return _forest(spark, d).descendants().select(*_tree_and("ancestor_key", "node_key"), "distance")
+
+
 def p3_found_with_month(spark: SparkSession, d: str) -> DataFrame:
     t = {n: read(spark, d, f"src_{n}") for n in (
         "inheritance", "methods", "string_literals", "calls", "classes", "functions")}
@@ -167,6 +172,7 @@ QUERIES = {
     "p1_nested": p1_nested,
     "p1_paths": p1_paths,
     "p1_descendants": p1_descendants,
+    "p1_tree_descendants": p1_tree_descendants,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p6_found": p6_found,
@@ -217,6 +223,9 @@ walk AS (
   UNION ALL SELECT w.ancestor_key, l.c, w.distance + 1 FROM walk w JOIN link l ON l.p = w.node_key)
 SELECT ancestor_key, node_key, CAST(distance AS BIGINT) AS distance FROM walk
 """,
+    "p1_tree_descendants": "WITH RECURSIVE" + ",".join(_P1_TREE.format(t=t, links=links) for t, links in _P1_LINKS) + " UNION ALL ".join(
+        f" SELECT '{t}' AS tree, d.anc AS ancestor_key, e.c AS node_key, MIN(d.depth) + 1 AS distance"
+        f" FROM e_{t} e JOIN d_{t} d ON d.node = e.p GROUP BY ALL" for t, _ in _P1_LINKS),
     "p3_found": _P3 + "SELECT table_name, seq, state FROM f WHERE state IS NOT NULL",
     "p3_report": _P3 + "SELECT table_name, month, state, COUNT(*) AS n_rows FROM f WHERE state IS NOT NULL GROUP BY ALL",
     "p6_found": """

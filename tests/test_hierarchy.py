@@ -79,3 +79,46 @@ def test_nested_sets_and_descendants(spark):
     assert [a for a, _ in spans] == list(range(6))
     below = descendants(f.nested(), frame(spark, [("b", "")]).selectExpr("child as node_key"))
     assert {tuple(r) for r in below.collect()} == {("b", "d", 1), ("b", "e", 1), ("b", "f", 2)}
+
+
+def brute_below(edges):
+    """{(ancestor, node, fewest links)}, at least one link."""
+    up = defaultdict(set)
+    for a, b in edges:
+        if a and b:
+            up[a].add(b)
+    out = set()
+    for n in list(up):
+        dist, queue = {p: 1 for p in up[n]}, deque(up[n])
+        while queue:
+            x = queue.popleft()
+            for y in up[x]:
+                if y not in dist:
+                    dist[y] = dist[x] + 1
+                    queue.append(y)
+        out |= {(a, n, d) for a, d in dist.items()}
+    return out
+
+
+def all_cases():
+    cases = {**CASES, "random": random_edges()}
+    return [(a and f"{name}/{a}", b and f"{name}/{b}") for name, edges in cases.items() for a, b in edges]
+
+
+def test_descendants_over_all_links(spark):
+    marked = all_cases()
+    rows = [tuple(r) for r in Forest(frame(spark, marked)).descendants().collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute_below(marked)
+
+
+def test_descendants_of_both_trees(spark, tmp_path):
+    from astrolith.plans.problems import p1_tree_descendants
+
+    put = lambda name, rows, kind: spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("src_inheritance", [("d", "b"), ("d", "c"), ("b", "a"), ("c", "a"), ("l", "l"), ("", "a")], "derived_usr string, base_usr string")
+    put("src_classes", [("k", 2), ("m", 0)], "usr string, namespace_id bigint")
+    put("src_namespaces", [(2, 1), (1, 0)], "id bigint, parent_id bigint")
+    assert {tuple(r) for r in p1_tree_descendants(spark, str(tmp_path)).collect()} == {
+        ("inheritance", "b", "d", 1), ("inheritance", "c", "d", 1), ("inheritance", "a", "d", 2), ("inheritance", "a", "b", 1),
+        ("inheritance", "a", "c", 1), ("inheritance", "l", "l", 1),
+        ("namespace", "2", "k", 1), ("namespace", "1", "k", 2), ("namespace", "1", "2", 1)}
