@@ -109,7 +109,9 @@ class Forest:
             state = new
 
     def nested(self, with_path: bool = False) -> DataFrame:
-        """One row per node of the forest: node_key, parent_key, root_key, depth,
+        """The least-key spanning forest only; ``all_paths`` follows all links.
+
+        One row per node of the forest: node_key, parent_key, root_key, depth,
         pre, size (range ``[pre, pre + size)`` within its root's tree), on_loop
         and, on demand, path (keys from the root down).
 
@@ -223,6 +225,50 @@ class Forest:
         )
         return reached.unionByName(looped)
 
+    def all_paths(self) -> DataFrame:
+        """One row per node and root it reaches, over all links: node_key,
+        n_parents, root_key, depth, at_loop, n_below, path.
+
+        depth is the fewest links to that root and path (keys from the root
+        down) a way of that length, upwards by the least key; at_loop tells
+        whether the node or some ancestor lies on a loop; n_below counts the
+        other nodes below.  A node that reaches no root has one row without
+        root, depth and path.
+        """
+        put = self.scratch.put
+        found = put(self.distances(), "found")
+        reached = found.where(F.col("depth") >= 0).select(F.col("node_key").alias("v"), F.col("root_key").alias("r"), "depth")
+        at_loop = found.where(F.col("depth") < 0).select("node_key", F.lit(1).alias("at_loop"))
+        key = self.nodes.select(F.col("id"), F.col("key").alias("v"))
+        links = self.links.join(key.withColumnRenamed("id", "child"), "child").select("v", "p")
+        via = (
+            reached.join(links, "v")
+            .join(reached.select(F.col("v").alias("p"), "r", (F.col("depth") + 1).alias("depth")), ["p", "r", "depth"])
+            .groupBy("v", "r").agg(F.min("p").alias("ptr"))
+        )
+        state = put(reached.join(via, ["v", "r"], "left").select("v", "r", "depth", "ptr", F.array("v").alias("path")), "ways")
+        while state.where(F.col("ptr").isNotNull()).limit(1).count():
+            hop = state.select(F.col("v").alias("ptr"), "r", F.col("ptr").alias("ptr2"), F.col("path").alias("path2"))
+            jumped = state.where(F.col("ptr").isNotNull()).join(hop, ["ptr", "r"]).select(
+                "v", "r", "depth", F.col("ptr2").alias("ptr"), F.concat("path2", "path").alias("path")
+            )
+            new = put(state.where(F.col("ptr").isNull()).unionByName(jumped), "ways")
+            self.scratch.drop(state)
+            state = new
+        below = (
+            self.descendants().where(F.col("ancestor_key") != F.col("node_key"))
+            .groupBy(F.col("ancestor_key").alias("node_key")).agg(F.count(F.lit(1)).alias("n_below"))
+        )
+        nodes = self.up.join(key, "id").select(F.col("v").alias("node_key"), "n_parents")
+        ways = state.select(F.col("v").alias("node_key"), F.col("r").alias("root_key"), "depth", "path")
+        return (
+            nodes.join(ways, "node_key", "left").join(at_loop, "node_key", "left").join(below, "node_key", "left")
+            .select(
+                "node_key", "n_parents", "root_key", "depth", F.coalesce("at_loop", F.lit(0)).alias("at_loop"),
+                F.coalesce("n_below", F.lit(0)).alias("n_below"), "path",
+            )
+        )
+
     def descendants(self) -> DataFrame:
         """(ancestor_key, node_key, distance): every node with each node below it
         over all links, and the fewest links between them.

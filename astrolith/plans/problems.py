@@ -48,7 +48,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_nested(spark: SparkSession, d: str) -> DataFrame:
-    """Path, depth, root, nested-set range and number of nodes below, per node."""
+    """Path, depth, root, nested-set range and number of nodes below, per node of
+    the least-key spanning forest only; p1_all_paths follows all links."""
     return _forest(spark, d).nested(with_path=True).select(
         *_tree_and("node_key", "parent_key", "root_key"), "depth", "pre", "size", "on_loop",
         F.array_join(F.transform("path", lambda k: F.substring(k, 2, 1 << 30)), " > ").alias("path"),
@@ -60,6 +61,14 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     return p1_nested(spark, d).drop("pre")
 
 
+def p1_all_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Per node and root it reaches, over all links: depth, path, loop state, nodes below."""
+    return _forest(spark, d).all_paths().select(
+        *_tree_and("node_key"), "n_parents", F.expr("substring(root_key, 2)").alias("root_key"), "depth", "at_loop", "n_below",
+        F.array_join(F.transform("path", lambda k: F.substring(k, 2, 1 << 30)), " > ").alias("path"),
+    )
+
+
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All classes and namespaces below each namespace with a root, with their distance."""
     nested = Forest(namespace_links(spark, d)).nested()
@@ -171,6 +180,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_nested": p1_nested,
     "p1_paths": p1_paths,
+    "p1_all_paths": p1_all_paths,
     "p1_descendants": p1_descendants,
     "p1_tree_descendants": p1_tree_descendants,
     "p3_found": p3_found,
@@ -201,6 +211,16 @@ _P1_PATHS = """
    CASE WHEN w.node IS NULL THEN 1 ELSE 0 END AS on_loop, w.path
    FROM n_{t} n LEFT JOIN e_{t} e ON e.c = n.n LEFT JOIN w_{t} w ON w.node = n.n LEFT JOIN s_{t} s ON s.anc = n.n)"""
 
+_P1_ALL_PATHS = """
+ v_{t} AS (SELECT a.node, a.anc AS root, a.depth, MIN(e.p) AS via FROM o_{t} o JOIN d_{t} a ON a.node = o.node_key AND a.anc = o.root_key
+   JOIN e_{t} e ON e.c = a.node JOIN d_{t} b ON b.node = e.p AND b.anc = a.anc AND b.depth = a.depth - 1 GROUP BY ALL),
+ w_{t} AS (SELECT node_key AS node, root_key AS root, depth, node_key AS path FROM o_{t} WHERE depth = 0
+   UNION ALL SELECT v.node, v.root, v.depth, w.path || ' > ' || v.node FROM w_{t} w JOIN v_{t} v ON v.via = w.node AND v.root = w.root),
+ q_{t} AS (SELECT '{t}' AS tree, n.n AS node_key, (SELECT COUNT(*) FROM e_{t} e WHERE e.c = n.n) AS n_parents,
+   w.root AS root_key, w.depth, CASE WHEN n.n IN (SELECT node_key FROM o_{t} WHERE depth < 0) THEN 1 ELSE 0 END AS at_loop,
+   (SELECT COUNT(*) FROM d_{t} d WHERE d.anc = n.n AND d.node <> n.n) AS n_below, w.path
+   FROM n_{t} n LEFT JOIN w_{t} w ON w.node = n.n)"""
+
 _P1_LINKS = (
     ("inheritance", "SELECT derived_usr AS c, base_usr AS p FROM src_inheritance WHERE derived_usr <> '' AND base_usr <> ''"),
     ("namespace", "SELECT CAST(id AS VARCHAR) AS c, CAST(parent_id AS VARCHAR) AS p FROM src_namespaces WHERE id <> 0 AND parent_id <> 0 "
@@ -223,6 +243,8 @@ walk AS (
   UNION ALL SELECT w.ancestor_key, l.c, w.distance + 1 FROM walk w JOIN link l ON l.p = w.node_key)
 SELECT ancestor_key, node_key, CAST(distance AS BIGINT) AS distance FROM walk
 """,
+    "p1_all_paths": "WITH RECURSIVE" + ",".join((_P1_TREE + "," + _P1_ALL_PATHS).format(t=t, links=links) for t, links in _P1_LINKS)
+    + " SELECT * FROM q_inheritance UNION ALL SELECT * FROM q_namespace",
     "p1_tree_descendants": "WITH RECURSIVE" + ",".join(_P1_TREE.format(t=t, links=links) for t, links in _P1_LINKS) + " UNION ALL ".join(
         f" SELECT '{t}' AS tree, d.anc AS ancestor_key, e.c AS node_key, MIN(d.depth) + 1 AS distance"
         f" FROM e_{t} e JOIN d_{t} d ON d.node = e.p GROUP BY ALL" for t, _ in _P1_LINKS),

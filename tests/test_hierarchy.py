@@ -122,3 +122,29 @@ def test_descendants_of_both_trees(spark, tmp_path):
         ("inheritance", "b", "d", 1), ("inheritance", "c", "d", 1), ("inheritance", "a", "d", 2), ("inheritance", "a", "b", 1),
         ("inheritance", "a", "c", 1), ("inheritance", "l", "l", 1),
         ("namespace", "2", "k", 1), ("namespace", "1", "k", 2), ("namespace", "1", "2", 1)}
+
+
+def test_all_paths(spark):
+    marked = all_cases()
+    up, roots, below = defaultdict(set), defaultdict(dict), defaultdict(set)
+    for a, b in {(a, b) for a, b in marked if a and b}:
+        up[a].add(b)
+    for n, r, d in brute(marked):
+        roots[n][r] = d
+    for a, n, _ in brute_below(marked):
+        below[a].add(n)
+    got = defaultdict(dict)
+    for r in Forest(frame(spark, marked)).all_paths().collect():
+        n = r.node_key
+        assert r.root_key not in got[n] and (r.n_parents, r.n_below) == (len(up[n]), len(below[n] - {n})), n
+        assert r.at_loop == ("" in roots[n]), n
+        got[n][r.root_key] = r.depth
+        if r.root_key is None:
+            assert r.depth is None and r.path is None
+            continue
+        assert r.path[0] == r.root_key and r.path[-1] == n and len(r.path) == r.depth + 1
+        for above, x in zip(r.path, r.path[1:]):
+            assert above == min(p for p in up[x] if roots[p].get(r.root_key) == roots[x][r.root_key] - 1)
+    want = {n: {r: d for r, d in rs.items() if r} or {None: None} for n, rs in roots.items()}
+    assert got == want
+    assert got["diamond/d"] == {"diamond/top": 3, "diamond/z": 2}
