@@ -13,6 +13,18 @@ P5_TABLES = {
     "src_classes": ["qualified_name", "kind", "file_id"],
 }
 
+#: columns where '' and 0 are missing, and those where only NULL is
+P5_RECORDS = {
+    "src_functions": (
+        ["id", "name", "qualified_name", "return_type", "file_id", "line", "col_no", "end_line", "end_column"],
+        ["is_definition", "is_inline", "is_variadic", "is_static", "is_system", "tu_ord", "seq", "loaded_at"],
+    ),
+    "src_classes": (
+        ["id", "name", "qualified_name", "kind", "file_id", "line", "namespace_id"],
+        ["is_definition", "is_abstract", "is_system", "tu_ord", "seq", "loaded_at"],
+    ),
+}
+
 
 def _sky(spark: SparkSession, d: str, table: str) -> DataFrame:
     return survivors.skyline(
@@ -35,6 +47,22 @@ def p5_functions(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(_sky(spark, d, "src_functions"), P5_TABLES["src_functions"]).withColumnRenamed("k", "usr")
 
 
+def _records(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return survivors.records(
+        read(spark, d, table), "usr", F.col("is_definition") == 1, ["loaded_at", "seq"], P5_RECORDS[table][1]
+    ).select("usr", "n_rows", *P5_RECORDS[table][0], *P5_RECORDS[table][1])
+
+
+def p5_function_records(spark: SparkSession, d: str) -> DataFrame:
+    """One built record of every function with a USR, with all columns."""
+    return _records(spark, d, "src_functions")
+
+
+def p5_class_records(spark: SparkSession, d: str) -> DataFrame:
+    """One built record of every class with a USR, with all columns."""
+    return _records(spark, d, "src_classes")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode_column(read(spark, d, "documents"))
@@ -106,6 +134,12 @@ FROM {table} WHERE usr <> '' AND usr IN (SELECT usr FROM {table} GROUP BY usr HA
     )
 
 
+def _p5_records_sql(table: str) -> str:
+    some, whole = P5_RECORDS[table]
+    null_only = [_p5_value(f).replace(f"CAST({f} AS VARCHAR) NOT IN ('', '0')", f"{f} IS NOT NULL") for f in whole]
+    return "SELECT usr, COUNT(*) AS n_rows, " + ", ".join([*map(_p5_value, some), *null_only]) + f" FROM {table} WHERE usr <> '' GROUP BY usr"
+
+
 def _p5_value(f: str) -> str:
     return f"""arg_max({f}, {{'d': CASE WHEN is_definition = 1 THEN 1 ELSE 0 END, 't': loaded_at, 's': seq}})
   FILTER (WHERE CAST({f} AS VARCHAR) NOT IN ('', '0')) AS {f}"""
@@ -118,6 +152,8 @@ QUERIES = {
     "p4_file_share": p4_file_share,
     "p5_found": p5_found,
     "p5_functions": p5_functions,
+    "p5_function_records": p5_function_records,
+    "p5_class_records": p5_class_records,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_items": p8_items,
@@ -129,4 +165,6 @@ SQL = {
     "p5_found": _p5_sql("src_functions") + "\nUNION ALL\n" + _p5_sql("src_classes"),
     "p5_functions": "SELECT usr, COUNT(*) AS n_rows, " + ", ".join(map(_p5_value, P5_TABLES["src_functions"]))
     + " FROM src_functions WHERE usr <> '' GROUP BY usr HAVING COUNT(*) > 1",
+    "p5_function_records": _p5_records_sql("src_functions"),
+    "p5_class_records": _p5_records_sql("src_classes"),
 }

@@ -15,7 +15,7 @@ best-ranked row that has a field is never dominated, because a dominating row
 would have the field too and rank before it.
 
 Defined results: missing keys (NULL, '') form no group; groups of one row give
-nothing; NULL trust counts as untrusted; NULL recency is oldest; a field that
+nothing, except in ``records``, which gives one row for every key; NULL trust counts as untrusted; NULL recency is oldest; a field that
 no row has gives no value; an empty table gives no rows.
 """
 
@@ -88,3 +88,18 @@ def field_sources(sky: DataFrame, fields: list[str], row_no: str) -> DataFrame:
 def survivors(sky: DataFrame, fields: list[str]) -> DataFrame:
     """One built record per group: its key, number of rows, and filled fields."""
     return sky.select("k", "n_rows", *[_filled(i)["vals"][f"v{i}"].alias(f) for i, f in enumerate(fields)])
+
+
+def records(df: DataFrame, key: str, trust: Column, recency: list[str], whole: list[str] = ()) -> DataFrame:
+    """One built record per key, groups of one row included: the key, ``n_rows``
+    and every other column from the best-ranked row that has it.
+
+    Columns in ``whole`` (flags, counters, times) lack a value only where they
+    are NULL; in all others '' and 0 are missing too and come out as NULL.
+    """
+    rank = F.struct(F.coalesce(trust.cast("int"), F.lit(0)).alias("trust"), *recency)
+    has = lambda c: F.col(c).isNotNull() if c in whole else present(c)
+    return df.where(present(key)).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.max_by(c, F.when(has(c), rank)).alias(c) for c in df.columns if c != key],
+    )

@@ -55,3 +55,23 @@ def test_survivors_equal_the_policy(spark):
     layers = [x.layer for r in sky.collect() for x in r.reps]
     assert min(layers) == 1 and max(layers) > 1
     assert survivors.skyline(df.limit(0), "usr", df["d"] == 1, ["seq"], ["f"]).count() == 0
+
+
+def test_class_records_have_every_usr_and_column(spark, tmp_path):
+    from astrolith.llm.queries import p5_class_records
+
+    columns = ("id bigint, usr string, name string, qualified_name string, kind string, file_id bigint, line int, "
+               "is_definition int, is_abstract int, namespace_id bigint, is_system int, tu_ord int, seq bigint, loaded_at int")
+    rows = [
+        (7, "u", "A", "", "class", 0, 3, 1, 0, None, None, 0, 1, 10),
+        (7, "u", "B", "n::A", "struct", 5, 9, None, 1, 4, 1, 2, 2, 20),
+        (8, "one", "C", "", None, 6, 0, 0, 0, 0, 0, 0, 3, 30),
+        (9, "", "D", "D", "class", 1, 1, 1, 0, 1, 0, 1, 4, 40),
+    ]
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/src_classes.parquet")
+    df = p5_class_records(spark, str(tmp_path))
+    assert sorted(df.columns) == sorted([*(c.split()[0] for c in columns.split(", ")), "n_rows"])
+    assert {r["usr"]: tuple(r)[1:] for r in df.collect()} == {
+        "u": (2, 7, "A", "n::A", "class", 5, 3, 4, 1, 0, 1, 0, 1, 10),
+        "one": (1, 8, "C", None, None, 6, None, None, 0, 0, 0, 0, 3, 30),
+    }
