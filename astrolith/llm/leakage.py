@@ -3,9 +3,9 @@
 An item's words become a template: numbers turn into ``#``, names (capitalised
 words that few items share) into ``@``, all other words stay.  Windows of three
 template words are the keys of a hash table; pages are canonicalised the same
-way and probe it.  Where a page hits template windows, the items whose slot
-values (names and numbers) occur nearby are compared with it word by word: the
-slots must hold the item's own values, so a question with other numbers or
+way and probe it.  Where a page hits a template window or a slot value (name or
+number) of an item, all items with that window or value are compared with it
+word by word: the slots must hold the item's own values, so a question with other numbers or
 names in the same template is not a leak.  An item counts as leaked from
 ``MIN_WORDS`` consecutive words on, counted over the item's words; misread,
 split or merged words inside the run are compared letter by letter, and lines
@@ -25,6 +25,8 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,7 +49,8 @@ class Items:
     """Template table of one block of items."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.words, self.slots, self.ids = [], [], []
+        self.words, self.slots, self.slot_words, self.ids = [], [], [], []
+        self._possible: dict[tuple[int, frozenset[str]], bool] = {}
         self.longest = max([len(t.split()) for _, t in rows if t], default=0)
         raw = [(i, _WORD.findall(t)) for i, t in rows if t]
         raw = [(i, w) for i, w in raw if len(w) >= MIN_WORDS]
@@ -59,7 +62,7 @@ class Items:
         # a name: capitalised wherever it stands, in few of the items
         few = max(6, len(raw) // 12)
         self.vocabulary = {w for w, n in seen.items() if not w.isdigit() and (lower[w] > 0 or n > few)}
-        self.table: dict[tuple[str, str, str], int] = {}
+        self.table: dict[tuple[str, str, str], set[int]] = defaultdict(set)
         self.by_slot: dict[str, list[int]] = defaultdict(list)
         common = {w for w, _ in Counter({w: seen[w] for w in self.vocabulary}).most_common(min(40, len(self.vocabulary) // 5))}
         for i, words in raw:
@@ -69,11 +72,12 @@ class Items:
             self.ids.append(i)
             self.words.append(folded)
             self.slots.append([c in "#@" for c in canon])
+            self.slot_words.append({x for x, c in zip(folded, canon) if c in "#@"})
             for j in range(len(canon) - 2):
                 w = tuple(canon[j : j + 3])
                 # a key needs two words of the template, one of them telling
                 if sum(x not in "#@" for x in w) >= 2 and any(x not in "#@" and x not in common for x in w):
-                    self.table[w] = k
+                    self.table[w].add(k)
             for s in {x for x, c in zip(folded, canon) if c == "@" or (c == "#" and len(x) > 1)}:
                 self.by_slot[s].append(k)
 
@@ -82,6 +86,18 @@ class Items:
             return "#"
         return folded if folded in self.vocabulary else "@"
 
+    def possible(self, k: int, page: set[str]) -> bool:
+        """Whether the slot values on the page allow item k a run that
+        ``longest_run`` accepts: one without slots or with enough of them held.
+        Drops nothing that it would accept."""
+        seen = frozenset(self.slot_words[k] & page)
+        if (k, seen) not in self._possible:
+            if len(self._possible) > 100_000:
+                self._possible.clear()
+            held = [s and w in seen for s, w in zip(self.slots[k], self.words[k])]
+            self._possible[k, seen] = _enough(self.slots[k], held)
+        return self._possible[k, seen]
+
     def _windows(self, regions: list[tuple[int, int]], n: int):
         """Regions with a margin; long ones in windows that overlap by more
         than any item's passage with its adverts can span."""
@@ -102,41 +118,59 @@ class Items:
         v = self.vocabulary
         canon = [w if w in v else "#" if w.isdigit() else "@" for w in folded]
         table = self.table
-        hits = [j for j, w in enumerate(zip(canon, canon[1:], canon[2:])) if w in table]
-        if len(hits) < 2:
-            return []
+        by_slot = self.by_slot
+        hits = [(j, table[w]) for j, w in enumerate(zip(canon, canon[1:], canon[2:])) if w in table]
+        hits = sorted(hits + [(j, by_slot[w]) for j, w in enumerate(folded) if w in by_slot], key=lambda h: h[0])
         regions: list[list[int]] = []
-        for j in hits:
+        for j, _ in hits:
             if regions and j - regions[-1][1] <= 2 * MAX_INSERT:
                 regions[-1][1] = j
-                regions[-1][2] += 1
             else:
-                regions.append([j, j, 1])
-        found = set()
-        for a, b in self._windows([(a, b) for a, b, n in regions if n > 1], len(folded)):
-            shared: Counter = Counter()
-            for s in set(folded[a:b]):
-                for k in self.by_slot.get(s, ()):
-                    shared[k] += 1 if s.isdigit() else 2
-            for k, weight in shared.items():
-                if weight >= 4 and k not in found and longest_run(self.words[k], self.slots[k], folded[a:b]) >= MIN_WORDS:
+                regions.append([j, j])
+        found: set[int] = set()
+        for a, b in self._windows(regions, len(folded)):
+            page, values = SequenceMatcher(None, "", folded[a:b], autojunk=False), set(folded[a:b])
+            for k in set().union(*(ks for j, ks in hits if a <= j < b)) - found:
+                if self.possible(k, values) and longest_run(self.words[k], self.slots[k], folded[a:b], page) >= MIN_WORDS:
                     found.add(k)
         return sorted(self.ids[k] for k in found)
 
 
+def _enough(slots: list[bool], held: list[bool]) -> bool:
+    """Whether some run of MIN_WORDS words or more has no slots or enough of them held."""
+    if sum(held) >= 4:
+        return True
+    # sums of held minus what is needed: a run of [a, b) has enough where it does not fall from a to b;
+    # of a longer run with enough slots held, some part of these lengths has enough too
+    at = list(accumulate((h - SLOTS * s for h, s in zip(held, slots)), initial=0.0))
+    return any(max(at[a + MIN_WORDS : a + 2 * MIN_WORDS]) > x - 1e-6 for a, x in enumerate(at[:-MIN_WORDS]))
+
+
+@lru_cache(1 << 16)
 def _like(a: str, b: str) -> float:
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
+    # a ratio below this bound is below LIKE whatever the letters are
+    if 2 * min(len(a), len(b)) < LIKE * (len(a) + len(b)):
+        return 0.0
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-def longest_run(item: list[str], slots: list[bool], page: list[str]) -> int:
-    """Most consecutive item words that the page repeats, with consistent slots."""
-    blocks = [m for m in SequenceMatcher(None, item, page, autojunk=False).get_matching_blocks() if m.size]
+def longest_run(item: list[str], slots: list[bool], page: list[str], matcher: SequenceMatcher | None = None) -> int:
+    """Most consecutive item words that the page repeats, with consistent slots;
+    0 where no run of MIN_WORDS can have them.
+
+    ``matcher`` has the page as its second sequence already, for several items."""
+    matcher = matcher or SequenceMatcher(None, "", page, autojunk=False)
+    matcher.set_seq1(item)
+    blocks = [m for m in matcher.get_matching_blocks() if m.size]
     if not blocks:
         return 0
+    exact = {i for m in blocks for i in range(m.a, m.a + m.size)}
+    if not _enough(slots, [s and i in exact for i, s in enumerate(slots)]):
+        return 0
     runs: list[list[int]] = []  # first item word, last + 1, first page word, last + 1
     for m in blocks:
         if runs:
@@ -153,7 +187,6 @@ def longest_run(item: list[str], slots: list[bool], page: list[str]) -> int:
                 continue
         runs.append([m.a, m.a + m.size, m.b, m.b + m.size])
     best = 0
-    exact = {i for m in blocks for i in range(m.a, m.a + m.size)}
     for a, b, c, d in runs:
         # the words at either end may be misread
         while a > 0 and c > 0 and len(item[a - 1]) > 1 and _like(item[a - 1], page[c - 1]) >= LIKE:

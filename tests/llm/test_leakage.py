@@ -94,3 +94,31 @@ def test_long_page_of_many_items(data):
     rows, items = data
     page = (" . ".join(t for _, t in rows) + " . ") * 12
     assert items.leaks(page) == [i for i, _ in rows]
+
+
+def test_every_undamaged_passage_with_few_slots():
+    """One number and one name, or none, in the fifteen words."""
+    texts = [
+        "no one in {p} may carry more than {n} clay marbles through the weighing hall without a written pass from the old warden of {q} and {a}",
+        "we were told that after the long rain had ended all of the small boats were drawn up on the sand beside the mill of {a} in {q}",
+    ]
+    rng = random.Random(11)
+    rows = [(i, texts[i % 2].format(a=rng.choice(NAMES), p=rng.choice(TOWNS), q=rng.choice(TOWNS), n=rng.randrange(100, 990))) for i in range(24)]
+    items = leakage.Items(rows)
+    for i, text in rows:
+        w = text.split()
+        for start in range(len(w) - 14):
+            assert i in items.leaks(FILLER + " ".join(w[start : start + 15]) + " . " + FILLER), (i, start)
+
+
+def test_slot_check_drops_nothing_that_the_comparison_accepts():
+    rng = random.Random(12)
+    for _ in range(300):
+        items = leakage.Items([])
+        n = rng.randrange(15, 60)
+        words = [f"w{i}" for i in range(n)]
+        items.words, items.slots = [words], [[rng.random() < 0.3 for _ in range(n)]]
+        items.slot_words = [{w for w, s in zip(words, items.slots[0]) if s}]
+        page = [w if rng.random() < 0.8 else w[::-1] for w in words]
+        if leakage.longest_run(words, items.slots[0], page) >= 15:
+            assert items.possible(0, set(page))
