@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolith.operators import heavykeys, orphans
+from astrolith.operators import graph, heavykeys, orphans
 from astrolith.operators.hierarchy import Forest, descendants
 from astrolith.runtime import present, read
 
@@ -123,6 +123,25 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(p3_found_with_month(spark, d))
 
 
+def call_reach(spark: SparkSession, d: str) -> DataFrame:
+    """(usr, depth): all that callers reach which nothing calls, over all of src_calls, and the fewest steps."""
+    edges = read(spark, d, "src_calls").where(present("caller_usr") & present("callee_usr")).select(
+        F.col("caller_usr").alias("src"), F.col("callee_usr").alias("dst"))
+    top = edges.select("src").join(edges.select(F.col("dst").alias("src")), "src", "left_anti").distinct()
+    return graph.reachable(edges, top).select(F.col("node").alias("usr"), "depth")
+
+
+def class_subtree(spark: SparkSession, d: str) -> DataFrame:
+    """subclass_tree over src_inheritance below the class name with most derived classes (then the least)."""
+    links = read(spark, d, "src_inheritance").where(present("derived_usr") & present("base_usr"))
+    classes = read(spark, d, "src_classes")
+    names = classes.where(present("usr") & present("name")).select("usr", "name").distinct()
+    counts = links.select(F.col("base_usr").alias("usr"), "derived_usr").join(names, "usr").groupBy("name").agg(F.count_distinct("derived_usr").alias("n"))
+    most = counts.orderBy(F.desc("n"), "name").limit(1).collect()
+    name = most[0]["name"] if most else ""
+    return graph.subclass_tree(links, classes, name)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Values holding at least 2 % of all rows of src_calls."""
     calls = read(spark, d, "src_calls")
@@ -185,6 +204,8 @@ QUERIES = {
     "p1_tree_descendants": p1_tree_descendants,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "call_reach": call_reach,
+    "class_subtree": class_subtree,
     "p6_found": p6_found,
     "p6_callee_stats": p6_callee_stats,
     "p6_caller_stats": p6_caller_stats,
@@ -250,6 +271,19 @@ SELECT ancestor_key, node_key, CAST(distance AS BIGINT) AS distance FROM walk
         f" FROM e_{t} e JOIN d_{t} d ON d.node = e.p GROUP BY ALL" for t, _ in _P1_LINKS),
     "p3_found": _P3 + "SELECT table_name, seq, state FROM f WHERE state IS NOT NULL",
     "p3_report": _P3 + "SELECT table_name, month, state, COUNT(*) AS n_rows FROM f WHERE state IS NOT NULL GROUP BY ALL",
+    "call_reach": """
+WITH RECURSIVE e AS (SELECT DISTINCT caller_usr AS src, callee_usr AS dst FROM src_calls WHERE caller_usr <> '' AND callee_usr <> ''),
+r AS (SELECT DISTINCT src AS usr, CAST(0 AS BIGINT) AS depth FROM e WHERE src NOT IN (SELECT dst FROM e)
+  UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.usr WHERE r.depth < (SELECT COUNT(*) FROM e))
+SELECT usr, MIN(depth) AS depth FROM r GROUP BY usr
+""",
+    "class_subtree": """
+WITH RECURSIVE e AS (SELECT DISTINCT base_usr AS src, derived_usr AS dst FROM src_inheritance WHERE derived_usr <> '' AND base_usr <> ''),
+s AS (SELECT c.name FROM src_classes c JOIN e ON e.src = c.usr WHERE c.name <> '' GROUP BY c.name ORDER BY COUNT(DISTINCT e.dst) DESC, c.name LIMIT 1),
+r AS (SELECT DISTINCT usr, CAST(0 AS BIGINT) AS depth FROM src_classes WHERE name = (SELECT name FROM s) AND usr IS NOT NULL
+  UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.usr WHERE r.depth < (SELECT COUNT(*) FROM e))
+SELECT r.usr, MIN(c.name) AS name, MIN(r.depth) AS depth FROM r JOIN src_classes c ON c.usr = r.usr WHERE c.usr <> '' GROUP BY r.usr
+""",
     "p6_found": """
 SELECT 'callee_name' AS field_name, callee_name AS key_value FROM src_calls WHERE callee_name <> ''
 GROUP BY callee_name HAVING COUNT(*) >= 0.02 * (SELECT COUNT(*) FROM src_calls)

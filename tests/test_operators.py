@@ -43,3 +43,15 @@ def test_globs(spark):
     assert got("**/*.cpp") == ["a.cpp", "x/b.CPP"] and got("*.cpp") == ["a.cpp"] and got("x/**") == ["x/b.CPP", "x/y/c.cc", "x/d.h"]
     assert df.where(compat.glob("x/*.[ch]*", "path")).count() == 2
     assert df.where(compat.has_component("path", ["Y"], ignore_case=True)).count() == 1
+
+
+def test_reach_over_calls_and_inheritance(spark, tmp_path):
+    from astrolith.plans.problems import QUERIES
+
+    put = lambda name, rows, kind: spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("src_calls", [("a", "b"), ("b", "c"), ("c", "b"), ("z", "c"), ("", "q"), ("q", None)], "caller_usr string, callee_usr string")
+    put("src_inheritance", [("d", "b"), ("e", "b"), ("f", "e"), ("b", "f"), ("y", "x"), ("", "x")], "derived_usr string, base_usr string")
+    put("src_classes", [("b", "B"), ("d", "D"), ("e", "E"), ("f", "F"), ("x", "X"), ("y", "Y")], "usr string, name string")
+    rows = lambda q: {tuple(r) for r in QUERIES[q](spark, str(tmp_path)).collect()}
+    assert rows("call_reach") == {("a", 0), ("z", 0), ("b", 1), ("c", 1)}
+    assert rows("class_subtree") == {("b", "B", 0), ("d", "D", 1), ("e", "E", 1), ("f", "F", 2)}
