@@ -1,87 +1,92 @@
 """Template residue and viewer messages in place of page content.
 
-Pages are cut into segments: unfilled placeholders (marks of template
-languages) and the sentences of lines whose letter groups all occur in known
-residue wording.  A segment is *trusted* residue when a pattern is sure of it:
-a delimiter that newspapers never print, a message about scripts, browsers or
-servers, words repeated without a sentence, or dense filler Latin.  Scanning
-damage hides many segments from the patterns.  Each distinct segment gets a
-64-bit SimHash of its letter groups, written in letters that scanners confuse
-as one; the bits are cut into blocks, every pair of blocks keys one table, and
-segments that share a key in a table are compared by Hamming distance and then
-by text likeness.  Trusted labels travel through the connected components of
-the links found.  A page with a labelled segment is residue.
-
-Exact copies of a segment are one node, so a message on a third of all pages
-costs one node.  The tables hold only candidate segments, never whole pages.
+Pages are cut into segments by structure alone: marks of template languages,
+and the sentences of the text in reading order.  No list of wordings decides
+what becomes a segment.  Every distinct segment is a node with a 64-bit SimHash
+of its letter groups, written in letters that scanners confuse as one.
+
+Labels come from a small trusted seed:
+
+* marks with delimiters that newspapers never print,
+* filler: running text in small letters without any of the short words that
+  every sentence needs,
+* the few published notices in ``SEEDS``,
+* segments of pages that hold nothing but segments which pages of ``COMMON`` or
+  more different sources repeat, for reported news never repeats in every
+  sentence.  Such pages must come from ``SOURCES`` sources and make up ``SHARE``
+  of all pages of the segment, so that a sentence of the news that chance
+  repeats is not trusted, however large the corpus.
+
+From there labels travel.  The bits are cut into blocks, every pair of blocks
+keys one table, segments that share a key are compared by Hamming distance and
+then by text likeness, and every node linked to a labelled one takes its label,
+in rounds, through the connected components.  A family that outgrows its
+trusted node (under ``SHARE`` of the family's pages) is no damaged copy of a
+message but a common sentence, and loses its labels.  A page with a labelled
+node is residue.
+
+Exact copies are one node, so a message on a third of all pages costs one
+node.  Buckets are split by leader: each labelled node remembers the trusted
+node its label came from (its leader) and its distance to it, and an open node
+is compared with the members of a leader's family only if it is near enough to
+the leader for a link to be possible (triangle inequality, so nothing is lost).
 
 Defined results: NULL, empty and blank texts are no residue; repeated pages
-each count; pages of any length are read whole.
+each count; pages and segments of any length are read whole; a NULL source is
+one source of its own; without the column all pages are of one source.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
+import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
-from zlib import crc32
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.pages import BREAKS, boxes, fold, joined, reading_order
+from astrolith.llm.pages import boxes, fold, joined, reading_order
 from astrolith.runtime import Scratch, workers_can_import
 
 #: every pair up to BLOCKS - 2 bits apart shares a table; farther ones up to HAMMING may
-BLOCKS, HAMMING, LIKE = 8, 8, 0.8
-#: share of a line's letter groups that must be known residue wording
-COVERED = 0.65
-MIN_LETTERS = 10
-
-# Wording of error pages, notices and filler in four languages.
-WORDING = """
-404 not found the requested page could not be located on this server. page not found. the page you requested does not exist. internal server error.
-503 service unavailable the site is down for maintenance please try again later. bad gateway. gateway timeout. forbidden. the archive is down.
-something went wrong on our end. oops. an unexpected error has occurred. error reference. error code. reload the page. reload the viewer.
-please enable javascript to view this page. this page requires javascript. the viewer does not work without scripts. newspaper page content.
-this content requires cookies. turn on cookies and scripts in your browser settings. your browser is not supported.
-access denied. you do not have permission to view this page. view page of this issue. log in to continue. sign in again to see this scan. your session has expired.
-the image could not be loaded. the image tile could not be loaded status. checking your browser before opening the archive. do not close this window. loading please wait.
-digital archive viewer. all rights reserved. download the app. accept all cookies.
-bitte aktivieren sie javascript um diese seite anzuzeigen zeitungsseite. fehler die angeforderte seite wurde auf diesem server nicht gefunden.
-ihre sitzung ist abgelaufen. melden sie sich erneut an. zugriff verweigert. diese ausgabe ist für sie nicht freigegeben. interner serverfehler.
-versuchen sie es später noch einmal. das bild konnte nicht geladen werden. der dienst ist vorübergehend nicht verfügbar. bitte warten.
-veuillez activer javascript pour afficher cette page du journal. erreur la page demandée est introuvable sur ce serveur. votre session a expiré.
-connectez-vous de nouveau. accès refusé. service momentanément indisponible réessayez plus tard code. impossible de charger cette image. veuillez patienter.
-active javascript para ver esta página del periódico. error la página solicitada no existe en este servidor. su sesión ha caducado. inicie sesión de nuevo.
-acceso denegado. servicio no disponible. vuelva a intentarlo más tarde. no se pudo cargar la imagen. espere por favor.
-lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud
-exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur
-lorem ipsum dolorum sitan ametur consectis adipiscor elitan sedan eiusdem temporis incidunto laboris magnam aliquor enimus minimo veniamus nostrudo exercito ullamus nisitur commodus duisan irure velitum
-sample text. blindtext. dummy paragraph for layout purposes only replace before print. body copy goes here. headline goes here. your text here. insert text here.
-text text text. asdf asdf jkl jkl. texte à remplacer. votre texte ici. aquí va el texto de la noticia. texto de ejemplo. hier steht ihr text. platzhalter. mustertext. filler text. placeholder.
+BLOCKS, HAMMING, LIKE = 8, 12, 0.8
+#: bits by which the finer SimHash (groups of four) of texts that alike may differ
+FINE = 20
+#: sources that must repeat every segment of a page; sources and share of pages of that sort that a segment needs
+COMMON, SOURCES, SHARE = 3, 2, 0.2
+MIN_LETTERS = 8
+
+# Reason phrases of HTTP, notices that servers and browsers ship with, customary filler.
+SEEDS = """
+400 Bad Request
+401 Unauthorized
+403 Forbidden
+404 Not Found
+408 Request Timeout
+500 Internal Server Error
+502 Bad Gateway
+503 Service Unavailable
+504 Gateway Timeout
+The requested URL was not found on this server.
+Please enable JavaScript to view this page.
+Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.
+Veuillez activer JavaScript pour afficher cette page.
+Active JavaScript para ver esta página.
+Your session has expired.
+You do not have permission to view this page.
+Insert your text here.
+Sample text sample text.
+Text text.
+Blindtext Blindtext.
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
 """
-#: messages that a pattern is sure of
-MESSAGE = regex.compile(r"""
- java\s?script | \b[45]\d\d\s+(?:not\s+found|service\s+unavailable|forbidden|bad\s+gateway|internal\s+server)
- | (?:error|fehler|erreur)\s*\d{3}\s*:\s*\w+ | \b(?:on|auf|sur|en)\s+(?:this|diesem|ce|este)\s+(?:server|serveur|servidor)\b
- | server(?:fehler|\s+error) | session\s+has\s+expired | sitzung\s+ist\s+abgelaufen | session\s+a\s+expir | sesi[oó]n\s+ha\s+caducado
- | access\s+denied\s*[.!] | zugriff\s+verweigert\s*[.!] | acc[eè]s\s+refus | acceso\s+denegado
- | permission\s+to\s+view\s+page | (?:image|tile)\s+could\s+not\s+be\s+loaded | reload\s+the\s+(?:viewer|page)
- | requires\s+cookies | cookies\s+and\s+scripts | browser\s+settings | (?:checking|in)\s+your\s+browser | do\s+not\s+close\s+this\s+window
- | work\s+without\s+scripts | went\s+wrong\s+on\s+our\s+end | error\s+reference\s+\d | down\s+for\s+maintenance
- | service\s+momentan\w+\s+indisponible | servicio\s+no\s+disponible | archive\s+viewer\s+v?\d | sign\s+in\s+again\s+to\s+see
- | connectez-vous\s+de\s+nouveau | melden\s+sie\s+sich\s+erneut | inicie\s+sesi[oó]n | ausgabe\s+ist\s+f[uü]r\s+sie\s+nicht\s+freigegeben
- """, regex.X | regex.I)
-FILLER = regex.compile(
-    r"(?:copy|headline|text|title|caption|photo|body)\s+goes\s+here|texte\s+[aà]\s+remplacer|aqu[ií]\s+va\s+el\s+texto|layout\s+purposes\s+only|"
-    r"replace\s+before\s+print|(?:your|insert)\s+text\s+here|hier\s+steht\s+(?:ihr|der)\s+text", regex.I)
-LATIN = frozenset("lorem ipsum dolor dolorum sitan amet ametur consectetur consectis adipiscing adipiscor elit elitan sedan eiusmod eiusdem tempor temporis "
-                  "incididunt incidunto labore laboris magna magnam aliqua aliquor enim enimus minim minimo veniam veniamus nostrud nostrudo exercitation exercito "
-                  "ullamco ullamus nisi nisitur commodo commodus duis duisan irure velit velitum".split())
 #: marks of template languages: double delimiters, and single ones around names
 MARK = regex.compile(r"""
  \{\{\s*[\w.\s]{2,40}?\s*\}\}? | \$\{\s*[\w.\s·]{2,40}\}? | \{%\s*[\w.\s]{2,40}%?\} | <%=?\s*[\w.\s]{2,40}%?> | \[\[\s*[\w.\s]{2,40}\]\]? | <<\s*[\w.\s]{2,40}>>?
@@ -91,36 +96,36 @@ MARK = regex.compile(r"""
 #: words inside single brackets that announce a value to be filled in
 SLOT_WORDS = frozenset("name names nombre nom vorname nachname fecha date datum author autor auteur byline title titel titre titulo caption text texte texto "
                        "article artikel city town stadt ville ciudad headline einsetzen insert insérer insertar reporter price preis body photo".split())
-
-_SENTENCE = regex.compile(r"(?<=[.!?:])\s+|\s\|\s|\n(?=[A-Z0-9<©])")
-_SPACE = regex.compile(r"\s+")
-_NUMBER = regex.compile(r"\d+")
+#: filler runs on at least this many words without one of up to SHORT letters; languages
+#: written without blanks or with long words only (not Latin script) are left out
+FILLER_WORDS, SHORT, LETTERS = 12, 3, 4.5
+#: pages of at most this many segments also give their neighbouring segments in pairs, for sentences
+#: whose full stop a scanner has lost (elsewhere such a sentence is a segment, and links to the pair)
+PAIRED = 6
+TEXT, MARKED, PAIR = 0, 1, 2
+
+_SENTENCE = regex.compile(r"(?<=[.!?:·])\s+|\s\|\s|\n(?=[A-Z0-9<©])")
+_NOT_WORD = re.compile(r"(?:[^\w\x1e]|_)+")
+_NUMBER = re.compile(r"\b\d+\b")
 _CONFUSED = str.maketrans({**dict.fromkeys("ceoa0", "o"), **dict.fromkeys("hb6k", "h"), **dict.fromkeys("nuvmw", "n"), **dict.fromkeys("tflijr1!|:", "l"),
                            **dict.fromkeys("sz58", "s"), **dict.fromkeys("gqy9", "g"), **dict.fromkeys("dp", "d")})
 
 
-@lru_cache(maxsize=200_000)
-def _groups(word: str) -> tuple[str, ...]:
-    w = f" {word.translate(_CONFUSED)} "
-    return tuple(w[i : i + 6] for i in range(len(w) - 5)) or (w,)
-
-
-_KNOWN = frozenset(g for w in regex.findall(r"[\p{L}\d]+", fold(WORDING)) for g in _groups(w))
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
-@lru_cache(maxsize=200_000)
-def _coverage(raw: str) -> tuple[int, int]:
-    """(letter groups of the word, how many of them are known wording)."""
-    w = fold(raw)
-    g = _groups(w)
-    if w.isdigit():
-        return 1, 1
-    return len(g), sum(x in _KNOWN for x in g)
+#: old letters, ligatures and accents of the Latin script, by rule
+_ACCENTS = {i: _plain(chr(i).lower()) for i in [*range(0xC0, 0x250), *range(0xFB00, 0xFB07)] if _plain(chr(i).lower()) != chr(i)}
+_ACCENTS.update({ord(a): b for a, b in {"ſ": "s", "ß": "ss", "æ": "ae", "œ": "oe"}.items()})
 
 
-def _squeeze(segment: str) -> str:
-    """The segment as a node: folded word by word, numbers alike, single blanks."""
-    return _NUMBER.sub("#", " ".join(fold(w) for w in segment.split()))
+def _squeeze(text: str) -> str:
+    """Lower case, Latin letters without accents, numbers alike, signs as single blanks."""
+    low = text.lower()
+    if not low.isascii():
+        low = low.translate(_ACCENTS)
+    return _NUMBER.sub("#", _NOT_WORD.sub(" ", low))
 
 
 def skeleton(node: str) -> str:
@@ -128,32 +133,62 @@ def skeleton(node: str) -> str:
     return node.translate(_CONFUSED)
 
 
-@lru_cache(maxsize=200_000)
-def _spread(group: str) -> int:
-    """64 counters of 16 bits in one integer: +1 where the group's hash has a 1."""
-    h = crc32(group.encode()) | crc32(group[::-1].encode() + b"#") << 32
-    out = 0
-    for i in range(64):
-        if h >> i & 1:
-            out |= 1 << (16 * i)
-    return out
+def _bits(group: str, size: int) -> np.ndarray:
+    """64 counters of one byte: 1 where the group's hash has a 1."""
+    raw = np.frombuffer(blake2b(f"{size}:{group}".encode(), digest_size=8).digest(), dtype=np.uint8)
+    return np.unpackbits(raw).view(np.uint64)
+
+
+_CLASS = np.array([{" ": 0, "#": 1, "o": 2, "h": 3, "n": 4, "l": 5, "s": 6, "g": 7, "d": 8, "x": 9}.get(chr(i), 10 + i % 6) for i in range(256)], dtype=np.int64)
+_PAIRS = np.stack([_bits(str(i), 2) for i in range(256)])
+_TRIPLES = np.stack([_bits(str(i), 3) for i in range(4096)])
+_FOURS = np.stack([_bits(str(i), 4) for i in range(4096)])
+#: skeletons hashed at once: the counters of a stretch stay in the cache
+_CHUNK = 2_000
+
+
+def simhashes(skeletons: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Signed 64-bit SimHashes of each skeleton: of its letter pairs and triples, and of its groups of four.
+
+    Byte-wide counters, eight in a word, are summed in stretches of at most 255
+    groups, and the stretches in whole numbers.
+    """
+    got = [_simhashes(skeletons[i : i + _CHUNK]) for i in range(0, len(skeletons), _CHUNK)]
+    if not got:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate([a for a, _ in got]), np.concatenate([b for _, b in got])
+
+
+def _simhashes(skeletons: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(" ".join(["", *skeletons, ""]).encode("utf-32-le", "replace"), dtype=np.uint32)
+    c = np.where(flat < 256, _CLASS[np.minimum(flat, 255)], 10 + flat % 6)
+    sizes = np.array([len(s) for s in skeletons], dtype=np.int64)
+    # a skeleton with its blank on either side has size + 1 pairs, size triples, size - 1 fours
+    first = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
+    pairs = c[:-1] * 16 + c[1:]
+    coarse, fine = np.zeros((len(sizes), 64), dtype=np.int64), np.zeros((len(sizes), 64), dtype=np.int64)
+    tables = ((_PAIRS, pairs, sizes + 1, coarse), (_TRIPLES, pairs[:-1] * 16 + c[2:], sizes, coarse),
+              (_FOURS, (pairs[:-2] * 251 + pairs[2:] * 17) & 4095, np.maximum(sizes - 1, 1), fine))
+    for table, codes, n, total in tables:
+        parts = -(-n // 255)
+        owner = np.repeat(np.arange(len(n)), parts)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        # each stretch is followed by what stands between it and the next
+        begin = first[owner] + 255 * step
+        end = np.minimum(begin + 255, (first + n)[owner])
+        words = np.concatenate([table[codes], np.zeros((2, 8), dtype=np.uint64)])
+        counts = np.add.reduceat(words, np.stack([begin, end], axis=1).ravel(), axis=0)[::2].view(np.uint8).reshape(len(owner), 64)
+        if len(owner) > len(n):
+            np.add.at(total, owner, counts)
+        else:
+            total += counts
+    pack = lambda total, n: np.packbits(total * 2 > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+    return pack(coarse, 2 * sizes + 1), pack(fine, np.maximum(sizes - 1, 1))
 
 
-@lru_cache(maxsize=50_000)
 def simhash(node: str) -> int:
-    """Signed 64-bit SimHash of the letter pairs of a node."""
-    s = f" {skeleton(node)} "
-    total = n = 0
-    for i in range(len(s) - 1):
-        total += _spread(s[i : i + 2])
-        n += 1
-        if n == 65_535:
-            break
-    bits = 0
-    for i in range(64):
-        if (total >> (16 * i) & 0xFFFF) * 2 > n:
-            bits |= 1 << i
-    return bits - (1 << 64) if bits >> 63 else bits
+    """Signed 64-bit SimHash of one node."""
+    return int(simhashes([skeleton(_squeeze(node).strip())])[0][0])
 
 
 def _trusted_mark(mark: str) -> bool:
@@ -165,88 +200,123 @@ def _trusted_mark(mark: str) -> bool:
     return True
 
 
-def _trusted_text(sentence: str, node: str) -> bool:
-    if MESSAGE.search(sentence) or FILLER.search(sentence):
-        return True
-    words = regex.findall(r"[\p{L}]+", node)
-    if len(words) < 4:
+def _filler(raw: str, node: str) -> bool:
+    """A long run of words without short ones or names."""
+    words = node.split()
+    if len(words) < FILLER_WORDS or not node.isascii() or "#" in node or len(node) < (LETTERS + 1) * len(words):
         return False
-    if len(set(words)) <= 2 and len(node) > 12:
-        return True
-    return len(words) >= 5 and sum(w in LATIN for w in words) >= 0.6 * len(words)
+    capital = sum(w[0].isupper() for w in raw.split())
+    return len(set(words)) > 2 and sum(len(w) <= SHORT for w in words) * 20 <= len(words) and capital * 10 <= len(words)
 
 
-def segments(text: str, xs=None, ws=None) -> list[tuple[str, bool]]:
-    """(node, trusted) of the candidate segments of a page."""
+def _once(node: str) -> str:
+    """One or two words said over and over become twice the same, however often they stand."""
+    words = node.split()
+    for size in (1, 2):
+        if len(words) > 2 * size and all(w == words[i % size] for i, w in enumerate(words)):
+            return " ".join(words[:size] * 2)
+    return node
+
+
+def segments(text: str, xs=None, ws=None) -> list[tuple[str, bool, int]]:
+    """(node, trusted, kind) of every segment of a page."""
+    flat = joined(reading_order(text, xs, ws))
     out = []
-    lines = reading_order(text, xs, ws)
     if any(c in text for c in "{[<%@_$«") or "TK" in text:
-        flat = joined(lines)
-        for m in MARK.finditer(flat):
-            out.append((_squeeze(m[0]), _trusted_mark(m[0])))
-    run: list[str] = []
-    broken = False
-    for line in [*lines, ""]:
-        words = line.split()
-        # halves of a word broken at a line end say nothing
-        half, broken = broken, bool(words) and words[-1][-1] in BREAKS and len(words[-1]) > 1
-        total = known = 0
-        for w in words[half : len(words) - broken]:
-            w = w.strip(".,;:!?()·-¬=\"'")
-            if w:
-                a, b = _coverage(w)
-                total += a
-                known += b
-        if total >= 3 and known >= COVERED * total or run and 0 < total < 3 and known:
-            run.append(line)
-        elif run and (total >= 3 or not line):
-            out += _sentences(run)
-            run = []
-    return out
-
-
-def _sentences(run: list[str]) -> list[tuple[str, bool]]:
-    out = []
-    text = joined(run)
-    for s in [*_SENTENCE.split(text), text]:
-        node = _squeeze(s)
-        if len(node) >= MIN_LETTERS:
-            out.append((node, _trusted_text(_SPACE.sub(" ", s), node)))
+        out = [(" ".join(fold(w) for w in m[0].split()), _trusted_mark(m[0]), MARKED) for m in MARK.finditer(flat)]
+    cut = _SENTENCE.sub("\x1e", flat)
+    run = []
+    for raw, node in zip(cut.split("\x1e"), _squeeze(cut).split("\x1e")):
+        node = node.strip()
+        if len(node) - node.count(" ") - node.count("#") >= MIN_LETTERS:
+            run.append((_once(node), _filler(raw, node), TEXT))
+    out += run
+    if 1 < len(run) <= PAIRED:
+        out += [(f"{a[0]} {b[0]}", False, PAIR) for a, b in itertools.pairwise(run)]
     return list(dict.fromkeys(out))
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """(doc_id, node, skeleton, sim, trusted) of every candidate segment; one Arrow pass."""
+    """(doc_id, source, node, sim, fine, trusted, kind) of every segment; one Arrow pass."""
     workers_can_import(documents.sparkSession)
-    names = ["doc_id", "node", "skeleton", "sim", "trusted"]
+    names = ["doc_id", "source", "node", "sim", "fine", "trusted", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for d, text, box in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), boxes(b.column(2))):
-                for node, trusted in segments(text, *(box or (None, None))):
-                    for column, v in zip(out, (d, node, skeleton(node), simhash(node), trusted)):
-                        column.append(v)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
-
+            at, found = [], []
+            for i, (text, box) in enumerate(zip(b.column(2).to_pylist(), boxes(b.column(3)))):
+                got = segments(text, *(box or (None, None)))
+                at += [i] * len(got)
+                found += got
+            nodes, trusted, kinds = zip(*found) if found else ((), (), ())
+            pick = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pick), b.column(1).take(pick), pa.array(nodes, pa.string()), *map(pa.array, simhashes(skeleton("\x1e".join(nodes)).split("\x1e") if nodes else [])),
+                 pa.array(trusted, pa.bool_()), pa.array(kinds, pa.int32())], names=names)
+
+    source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in documents.columns else F.lit("")
     pages = documents.where(F.length(F.trim("text")) > 0).select(
-        F.col("doc_id").cast("long"), "text",
+        F.col("doc_id").cast("long"), F.xxhash64(source).alias("source"), "text",
         F.transform("line_boxes", lambda x: F.struct(x["x"].alias("x"), x["w"].alias("w"))).alias("line_boxes"),
     )
-    return pages.mapInArrow(run, "doc_id long, node string, skeleton string, sim long, trusted boolean")
+    return pages.mapInArrow(run, "doc_id long, source long, node string, sim long, fine long, trusted boolean, kind int")
+
+
+def _skeleton_column(node: str = "node"):
+    a, b = zip(*((chr(k), v) for k, v in _CONFUSED.items()))
+    return F.translate(F.col(node), "".join(a), "".join(b))
+
+
+def _key():
+    """A node's id: its skeleton's hash beside its SimHash, 128 bits."""
+    return F.xxhash64("skeleton").alias("h")
+
+
+_WIDTH = 64 // BLOCKS
+_TABLES = list(itertools.combinations(range(BLOCKS), 2))
 
 
 def _table_keys(sim: str):
     """One key per pair of blocks: C(8, 2) = 28 tables of 16 bits."""
-    width = 64 // BLOCKS
-    block = [F.shiftrightunsigned(F.col(sim), i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BLOCKS)]
+    block = [F.shiftrightunsigned(F.col(sim), i * _WIDTH).bitwiseAND(F.lit((1 << _WIDTH) - 1)) for i in range(BLOCKS)]
     return F.array(*[
-        F.struct(F.lit(t).alias("t"), (F.shiftleft(block[a], width) + block[b]).alias("k"))
-        for t, (a, b) in enumerate(itertools.combinations(range(BLOCKS), 2))
+        F.struct(F.lit(t).alias("t"), (F.shiftleft(block[a], _WIDTH) + block[b]).cast("int").alias("k")) for t, (a, b) in enumerate(_TABLES)
     ])
 
 
+def _hits(open_nodes: DataFrame, front_keys: DataFrame) -> DataFrame:
+    """(h, sim, fine, n, t, k): the keys of open nodes that some front node has too.
+
+    The front's keys become one bitmap a table: 28 tables of 65,536 bits, 224 KB
+    whatever the data, which every task looks up for all tables at once.
+    """
+    size = 1 << (2 * _WIDTH)
+    maps = np.zeros((len(_TABLES), size), dtype=bool)
+    grouped = front_keys.groupBy("t", F.bitmap_bucket_number(F.col("k").cast("long")).alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("k").cast("long"))).alias("m"))
+    for r in grouped.collect():
+        bits = np.flatnonzero(np.unpackbits(np.frombuffer(r["m"], dtype=np.uint8), bitorder="little"))
+        # bucket b > 0 holds (b - 1) * 32768 + 1 ..., bucket 0 holds 0
+        maps[r["t"], bits + (r["b"] - 1) * 32768 + 1 if r["b"] > 0 else bits] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sim = b.column(1).to_numpy().view(np.uint64)
+            block = [(sim >> np.uint64(i * _WIDTH) & np.uint64((1 << _WIDTH) - 1)).astype(np.int32) for i in range(BLOCKS)]
+            rows, ts, ks = [], [], []
+            for t, (x, y) in enumerate(_TABLES):
+                k = (block[x] << _WIDTH) + block[y]
+                hit = np.flatnonzero(maps[t, k])
+                rows.append(hit)
+                ts.append(np.full(len(hit), t, dtype=np.int32))
+                ks.append(k[hit])
+            pick = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [*[c.take(pick) for c in b.columns], pa.array(np.concatenate(ts)), pa.array(np.concatenate(ks))], names=["h", "sim", "fine", "n", "t", "k"])
+
+    return open_nodes.select("h", "sim", "fine", "n").mapInArrow(run, "h long, sim long, fine long, n int, t int, k int")
+
+
 def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
     for x, y in zip(a.to_pylist(), b.to_pylist()):
@@ -255,76 +325,128 @@ def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that pass Hamming distance and text likeness."""
-    close = pairs.where(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= HAMMING).select("a", "b").distinct()
-    text = nodes.select("id", "text")
-    close = close.join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    close = close.join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    alike = F.arrow_udf(_alike, "boolean")
-    return close.where(alike("text_a", "text_b")).select("a", "b")
+def _apart(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def labelled(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Skeletons of all classes that a trusted label reaches.
-
-    Labels travel in rounds from the classes labelled last to those without a
-    label.  Links between unlabelled classes carry nothing and are never made.
-    In each bucket the open classes are compared with one labelled class
-    first; only those that it does not match are compared with all others, so
-    a large family of near-copies costs one comparison a member and still no
-    link that could carry a label is left out.
+def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (h, sim, h2, sim2, ...) whose texts are alike."""
+    text = lambda h, s, n: nodes.select(F.col("h").alias(h), F.col("sim").alias(s), F.col("node").alias(n))
+    both = pairs.join(text("h", "sim", "n1"), ["h", "sim"]).join(text("h2", "sim2", "n2"), ["h2", "sim2"])
+    # no texts this likely are farther apart, and this test needs no Python
+    near = F.levenshtein("n1", "n2") <= (1 - LIKE) * (F.length("n1") + F.length("n2"))
+    return both.where(near & F.arrow_udf(_alike, "boolean")("n1", "n2")).drop("n1", "n2")
+
+
+def spread(nodes: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, sim) of all nodes that a trusted label reaches; ``nodes`` has h, sim, fine,
+    node and n_pages, each node once; ``trusted`` has h and sim of some of them.  NULL
+    n_pages exempts a trusted node from the test on its family's size.
+
+    Labels travel in rounds from the nodes labelled last to those without a
+    label.  Links between unlabelled nodes carry nothing and are never made.
     """
     put, drop = scratch.put, scratch.drop
-    nodes = put(
-        rows.groupBy("skeleton").agg(
-            F.max("trusted").alias("trusted"), F.min("node").alias("text"), F.min_by("sim", "node").alias("sim")
-        ),
-        "classes",
-    )
-    nodes = put(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    keys = lambda df: df.select("id", "sim", F.explode(_table_keys("sim")).alias("x")).select("id", "sim", "x.t", "x.k")
-    as_open = lambda df: df.select("t", "k", F.col("id").alias("a"), F.col("sim").alias("sim_a"))
-    as_known = lambda df: df.select("t", "k", F.col("id").alias("b"), F.col("sim").alias("sim_b"))
-
-    known = put(nodes.where("trusted").select("id"), "known")
-    front = nodes.where("trusted")
-    unlabelled = nodes.where(~F.col("trusted"))
+    nodes = nodes.select("h", "sim", "fine", "node", F.length("node").alias("n"), "n_pages")
+    known = put(nodes.join(trusted, ["h", "sim"], "left_semi").select("h", "sim", F.col("sim").alias("lead"), "n_pages", F.lit(0).alias("turn"), F.lit(False).alias("off")), "known")
+    turn = 0
     while True:
-        labels = put(as_known(keys(front)), "front")
-        leaders = labels.groupBy("t", "k").agg(F.min_by("sim_b", "b").alias("sim_b"), F.min("b").alias("b"))
-        first = put(_verified(as_open(keys(unlabelled)).join(leaders, ["t", "k"]), nodes).select(F.col("a").alias("id")).distinct(), "first")
-        still = unlabelled.join(first, "id", "left_anti")
-        second = _verified(as_open(keys(still)).join(labels, ["t", "k"]), nodes).select(F.col("a").alias("id")).distinct()
-        news = put(first.unionByName(second), "news")
-        drop(labels)
-        if not news.limit(1).count():
-            return nodes.join(known, "id", "left_semi").select("skeleton")
-        known = put(known.unionByName(news), "known")
-        front = nodes.join(news, "id", "left_semi")
-        unlabelled = nodes.join(known, "id", "left_anti")
+        front = known.where((F.col("turn") == turn) & ~F.col("off"))
+        if not front.limit(1).count():
+            return known.where(~F.col("off")).select("h", "sim")
+        keys = put(
+            front.join(nodes.select("h", "sim", "fine", "n"), ["h", "sim"])
+            .select(F.col("h").alias("h2"), F.col("sim").alias("sim2"), F.col("fine").alias("fine2"), F.col("n").alias("n2"), "lead",
+                    _apart("sim", "lead").alias("r"), F.explode(_table_keys("sim")).alias("x"))
+            .select("h2", "sim2", "fine2", "n2", "lead", "r", "x.t", "x.k"), "keys")
+        hits = _hits(nodes.join(known, ["h", "sim"], "left_anti"), keys)
+        families = keys.groupBy("t", "k", "lead").agg(F.max("r").alias("r"))
+        near = hits.join(families, ["t", "k"]).where(_apart("sim", "lead") <= F.lit(HAMMING) + F.col("r")).drop("r")
+        # texts of this likeness have lengths within the same bound
+        fits = F.least("n", "n2") * 2 >= LIKE * (F.col("n") + F.col("n2"))
+        close = (_apart("sim", "sim2") <= HAMMING) & (_apart("fine", "fine2") <= FINE)
+        pairs = put(near.join(keys, ["t", "k", "lead"]).where(close & fits)
+                    .select("h", "sim", "h2", "sim2", "lead").distinct(), "pairs")
+        # the nearest label first: most nodes need no other comparison
+        best = pairs.groupBy("h", "sim").agg(F.min_by(F.struct("h2", "sim2", "lead"), F.struct(_apart("sim", "sim2"), "h2", "sim2")).alias("x")).select(
+            "h", "sim", "x.h2", "x.sim2", "x.lead")
+        first = put(_linked(best, nodes).select("h", "sim", "lead"), "first")
+        others = _linked(pairs.join(first, ["h", "sim"], "left_anti"), nodes)
+        second = others.groupBy("h", "sim").agg(F.min_by("lead", F.struct(_apart("sim", "lead"), "lead")).alias("lead"))
+        turn += 1
+        news = first.unionByName(second).join(nodes.select("h", "sim", "n_pages"), ["h", "sim"]).withColumn("turn", F.lit(turn)).withColumn("off", F.lit(False))
+        grown = put(known.unionByName(news), "grown")
+        own = F.sum(F.when(F.col("turn") == 0, F.col("n_pages")))
+        # a family without pages of its own root is a seed's: nothing to compare it with
+        outgrown = grown.groupBy("lead").agg(own.alias("own"), F.sum("n_pages").alias("all")).where(F.col("own") < SHARE * F.col("all"))
+        # its nodes stay in the list, without their label, so that no other round takes them up
+        outgrown = outgrown.select("lead", F.lit(True).alias("grew"))
+        new_known = put(grown.join(outgrown, "lead", "left").select(
+            "h", "sim", "lead", "n_pages", "turn", (F.col("off") | F.coalesce("grew", F.lit(False))).alias("off")), "known")
+        drop(keys, pairs, first, grown, known)
+        known = new_known
+
+
+def labelled(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Skeletons of all classes that a trusted label reaches; ``rows`` has node, skeleton, sim, trusted."""
+    nodes = scratch.put(
+        rows.groupBy(_key(), "sim").agg(F.max("trusted").alias("trusted"), F.min("node").alias("node"), F.min("skeleton").alias("skeleton"), F.lit(None).cast("long").alias("n_pages"),
+            F.lit(0).cast("long").alias("fine")), "nodes")
+    return nodes.join(spread(nodes, nodes.where("trusted").select("h", "sim"), scratch), ["h", "sim"], "left_semi").select("skeleton")
+
+
+def _seeds(rows: DataFrame) -> DataFrame:
+    """The seed notices as rows without a page."""
+    texts = [s for s in (_squeeze(x).strip() for x in SEEDS.split("\n")) if s]
+    data = [(n, int(a), int(b)) for n, a, b in zip(texts, *simhashes([skeleton(n) for n in texts]))]
+    spark = rows.sparkSession
+    return spark.createDataFrame(data, "node string, sim long, fine long").select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("source"), "node", "sim", "fine", F.lit(True).alias("trusted"), F.lit(TEXT).alias("kind"))
+
+
+def _labels(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows of all segments, (h, sim) of the labelled nodes)."""
+    put = scratch.put
+    rows = candidates(documents)
+    rows = put(rows.unionByName(_seeds(rows)).withColumn("skeleton", _skeleton_column()).withColumn("h", F.xxhash64("skeleton")).drop("skeleton"), "segments")
+    # one row a node and source first, so that a message on most pages is a few rows a task
+    per_source = rows.groupBy("h", "sim", "source").agg(
+        F.max("trusted").alias("trusted"), F.min("node").alias("node"), F.min("fine").alias("fine"), F.count("doc_id").alias("n"))
+    nodes = put(per_source.groupBy("h", "sim").agg(
+        F.max("trusted").alias("trusted"), F.min("node").alias("node"), F.min("fine").alias("fine"), F.count("source").alias("n_sources"), F.sum("n").alias("n_pages")), "nodes")
+    common = nodes.where(F.col("n_sources") >= COMMON).select("h", "sim", F.lit(1).alias("common"))
+    texts = rows.where((F.col("kind") != MARKED) & F.col("doc_id").isNotNull())
+    wholly = (
+        texts.where(F.col("kind") == TEXT).join(common, ["h", "sim"], "left").groupBy("doc_id").agg(F.min(F.coalesce("common", F.lit(0))).alias("all_common"))
+        .where(F.col("all_common") == 1).select("doc_id")
+    )
+    repeated = (
+        texts.join(wholly, "doc_id", "left_semi").groupBy("h", "sim", "source").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("h", "sim").agg(F.sum("n").alias("n_wholly"), F.count(F.lit(1)).alias("n_wholly_sources")).where(F.col("n_wholly_sources") >= SOURCES)
+    )
+    repeated = nodes.join(repeated, ["h", "sim"]).where(F.col("n_wholly") >= SHARE * F.col("n_pages")).select("h", "sim")
+    trusted = put(nodes.where("trusted").select("h", "sim").unionByName(repeated).distinct(), "trusted")
+    # the seeds have no pages
+    nodes = nodes.withColumn("n_pages", F.when(F.col("n_pages") > 0, F.col("n_pages")))
+    return rows, spread(nodes, trusted, scratch)
 
 
 def find(documents: DataFrame) -> DataFrame:
     """doc_id of every page on which residue stands, wholly or in part."""
-    scratch = Scratch(documents.sparkSession, "residue")
-    rows = scratch.put(candidates(documents), "segments")
-    known = labelled(rows, scratch)
-    sure = rows.where("trusted").select("doc_id")
-    # trusted rows need no join, so a message on most pages is not a hot key
-    rest = rows.where(~F.col("trusted")).join(known, "skeleton", "left_semi").select("doc_id")
+    rows, known = _labels(documents, Scratch(documents.sparkSession, "residue"))
+    found = rows.where(F.col("doc_id").isNotNull())
+    # rows trusted by themselves need no join, so a mark on most pages is not a hot key
+    sure = found.where("trusted").select("doc_id")
+    rest = found.where(~F.col("trusted")).join(known, ["h", "sim"], "left_semi").select("doc_id")
     return sure.unionByName(rest).distinct()
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """Residue classes: shortest text, pages, and whether a pattern knew it."""
-    scratch = Scratch(documents.sparkSession, "residue")
-    rows = scratch.put(candidates(documents), "segments")
-    known = labelled(rows, scratch)
+    """Residue nodes: least text, pages, and whether the segment was trusted by itself."""
+    rows, known = _labels(documents, Scratch(documents.sparkSession, "residue"))
     return (
-        rows.join(known, "skeleton", "left_semi")
-        .select("skeleton", "node", "doc_id", "trusted").distinct()
-        .groupBy("skeleton").agg(
-            F.min("node").alias("text"), F.count_distinct("doc_id").alias("n_pages"), F.max(F.col("trusted").cast("int")).alias("by_pattern"),
-        )
+        rows.where(F.col("doc_id").isNotNull()).join(known, ["h", "sim"], "left_semi")
+        .groupBy("h", "sim", "doc_id").agg(F.min("node").alias("node"), F.max(F.col("trusted").cast("int")).alias("trusted"))
+        .groupBy("h", "sim").agg(F.min("node").alias("text"), F.count("doc_id").alias("n_pages"), F.max("trusted").alias("by_pattern"))
+        .withColumn("skeleton", _skeleton_column("text")).select("skeleton", "text", "n_pages", "by_pattern")
     )

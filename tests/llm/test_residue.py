@@ -55,3 +55,79 @@ def test_labels_travel_through_components(spark):
 def test_simhash_of_damage_is_near():
     a, b = residue.simhash("please enable the viewer"), residue.simhash("plcase cnable fhe viewcr")
     assert (a ^ b).bit_count() <= residue.HAMMING
+
+
+NOVEL = [
+    "The reading room is closed while the shelves are counted.", "This leaf is not yet open to guests of the library.",
+    "Dieses Blatt wird zur Zeit neu erfasst und fehlt daher.", "Cette feuille sera bientot de retour parmi nous.",
+]
+#: parts of the news, put together differently on every page
+PARTS = ["Rosba", "Ella", "Tamtor", "Vervik", "Istell", "Morgo", "Quinda", "Peltor", "Hesba", "Korla"]
+
+
+def news(rng, n):
+    one = lambda: " ".join(rng.choice(PARTS) + rng.choice("abdegk") + rng.choice("lmnrst") for _ in range(3))
+    return " ".join(f"{one()} told {one()} of {rng.randrange(9, 900)} loads near {one()} in the rain." for _ in range(n))
+
+
+def test_messages_in_wordings_that_the_package_does_not_hold(spark):
+    """Found by repetition and by links alone, damage and surroundings included."""
+    import random
+
+    rng = random.Random(5)
+    rows, want = [], set()
+    for i in range(600):
+        text = news(rng, 3)
+        if i % 5 == 0:
+            m = NOVEL[i // 5 % len(NOVEL)]
+            if i // 20 % 2:
+                text = m
+            else:
+                if i % 3 == 0:
+                    m = m.replace("e", "c", 2).replace("n", "u", 1)
+                text = f"{text} {m} {news(rng, 2)}" if i % 4 == 0 else f"{text} {m}"
+            want.add(i)
+        rows.append((i, text, f"title {rng.randrange(12)}", None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, line_boxes array<struct<x:int,y:int,w:int,h:int,conf:int>>")
+    got = {r.doc_id for r in residue.find(docs).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    assert got <= want
+
+
+def test_nodes_of_any_length_are_hashed_whole():
+    body = "abcdefghij klmno pqrst " * 4000
+    a, b = residue.simhashes([body + "x" * 10, body + "the end of it all is new " * 4000])[0]
+    assert len(body) > 65_535 and a != b
+
+
+def test_simhash_counts_every_group():
+    """Against a count group by group, across the stretches of 255."""
+    import numpy as np
+
+    for s in ("ab", "on the hill", "the quick fox " * 60):
+        k = residue.skeleton(s)
+        c = [int(residue._CLASS[ord(x)]) for x in f" {k} "]
+        total = np.zeros(64, dtype=int)
+        for table, size in ((residue._PAIRS, 2), (residue._TRIPLES, 3)):
+            for i in range(len(c) - size + 1):
+                code = 0
+                for x in c[i : i + size]:
+                    code = code * 16 + x
+                total += table[code].view(np.uint8)
+        n = len(c) - 1 + len(c) - 2
+        want = int(sum(1 << i for i in range(64) if total[i] * 2 > n))
+        got = int(residue.simhashes(["other", k, "more"])[0][1]) & (1 << 64) - 1
+        assert got == want
+
+
+def test_a_common_sentence_loses_its_labels(spark):
+    """A trusted node whose family holds far more pages than itself labels nothing."""
+    from astrolith.runtime import Scratch
+
+    names = ["Rosba", "Ella", "Tamto", "Vervi", "Istel", "Morgo", "Quind", "Pelto", "Hesba", "Korla"]
+    texts = [f"the bells of the old town were rung for # minutes when {n} came home" for n in names] + ["this page is closed while the shelves are counted"] * 1
+    sims = residue.simhashes([residue.skeleton(t) for t in texts])
+    rows = [(i, int(a), int(b), t, 1) for i, (t, a, b) in enumerate(zip(texts, *sims))]
+    nodes = spark.createDataFrame(rows, "h long, sim long, fine long, node string, n_pages long")
+    trusted = nodes.where("h in (0, 10)").select("h", "sim")
+    assert {r.h for r in residue.spread(nodes, trusted, Scratch(spark, "t")).collect()} == {10}
