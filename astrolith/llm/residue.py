@@ -9,7 +9,7 @@ Labels come from a small trusted seed:
 
 * marks with delimiters that newspapers never print,
 * filler: running text in small letters without any of the short words that
-  every sentence needs,
+  every sentence needs (it has no copies, so its label does not travel),
 * the few published notices in ``SEEDS``,
 * segments of pages that hold nothing but segments which pages of ``COMMON`` or
   more different sources repeat, for reported news never repeats in every
@@ -59,7 +59,7 @@ from astrolith.runtime import Scratch, workers_can_import
 BLOCKS, HAMMING, LIKE = 8, 12, 0.8
 #: bits by which the finer SimHash (groups of four) of texts that alike may differ
 FINE = 20
-#: sources that must repeat every segment of a page; sources and share of pages of that sort that a segment needs
+#: sources that must repeat every segment of a page (sources count by 64 classes, so that two may count as one); sources and share of pages of that sort that a segment needs
 COMMON, SOURCES, SHARE = 3, 2, 0.2
 MIN_LETTERS = 8
 
@@ -102,29 +102,25 @@ FILLER_WORDS, SHORT, LETTERS = 12, 3, 4.5
 #: pages of at most this many segments also give their neighbouring segments in pairs, for sentences
 #: whose full stop a scanner has lost (elsewhere such a sentence is a segment, and links to the pair)
 PAIRED = 6
-TEXT, MARKED, PAIR = 0, 1, 2
+TEXT, MARKED, PAIR, FILLER = range(4)
 
-_SENTENCE = regex.compile(r"(?<=[.!?:·])\s+|\s\|\s|\n(?=[A-Z0-9<©])")
+_SENTENCE = re.compile(r"(?<=[.!?:·])\s+|\s\|\s|\n(?=[A-Z0-9<©])")
 _NOT_WORD = re.compile(r"(?:[^\w\x1e]|_)+")
 _NUMBER = re.compile(r"\b\d+\b")
 _CONFUSED = str.maketrans({**dict.fromkeys("ceoa0", "o"), **dict.fromkeys("hb6k", "h"), **dict.fromkeys("nuvmw", "n"), **dict.fromkeys("tflijr1!|:", "l"),
                            **dict.fromkeys("sz58", "s"), **dict.fromkeys("gqy9", "g"), **dict.fromkeys("dp", "d")})
 
 
-def _plain(c: str) -> str:
-    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-
-
-#: old letters, ligatures and accents of the Latin script, by rule
-_ACCENTS = {i: _plain(chr(i).lower()) for i in [*range(0xC0, 0x250), *range(0xFB00, 0xFB07)] if _plain(chr(i).lower()) != chr(i)}
-_ACCENTS.update({ord(a): b for a, b in {"ſ": "s", "ß": "ss", "æ": "ae", "œ": "oe"}.items()})
+_MARKS = re.compile("[\u0300-\u036f]+")
 
 
 def _squeeze(text: str) -> str:
     """Lower case, Latin letters without accents, numbers alike, signs as single blanks."""
     low = text.lower()
     if not low.isascii():
-        low = low.translate(_ACCENTS)
+        for a, b in (("ß", "ss"), ("ſ", "s"), ("æ", "ae"), ("œ", "oe")):
+            low = low.replace(a, b)
+        low = _MARKS.sub("", unicodedata.normalize("NFKD", low))
     return _NUMBER.sub("#", _NOT_WORD.sub(" ", low))
 
 
@@ -140,9 +136,8 @@ def _bits(group: str, size: int) -> np.ndarray:
 
 
 _CLASS = np.array([{" ": 0, "#": 1, "o": 2, "h": 3, "n": 4, "l": 5, "s": 6, "g": 7, "d": 8, "x": 9}.get(chr(i), 10 + i % 6) for i in range(256)], dtype=np.int64)
-_PAIRS = np.stack([_bits(str(i), 2) for i in range(256)])
-_TRIPLES = np.stack([_bits(str(i), 3) for i in range(4096)])
-_FOURS = np.stack([_bits(str(i), 4) for i in range(4096)])
+_PAIRS, _TRIPLES, _FOURS = (
+    np.stack([*(_bits(str(i), size) for i in range(n)), np.zeros(8, dtype=np.uint64)]) for size, n in ((2, 256), (3, 4096), (4, 4096)))
 #: skeletons hashed at once: the counters of a stretch stay in the cache
 _CHUNK = 2_000
 
@@ -166,7 +161,7 @@ def _simhashes(skeletons: list[str]) -> tuple[np.ndarray, np.ndarray]:
     # a skeleton with its blank on either side has size + 1 pairs, size triples, size - 1 fours
     first = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
     pairs = c[:-1] * 16 + c[1:]
-    coarse, fine = np.zeros((len(sizes), 64), dtype=np.int64), np.zeros((len(sizes), 64), dtype=np.int64)
+    coarse, fine = np.zeros((len(sizes), 64), dtype=np.int32), np.zeros((len(sizes), 64), dtype=np.int32)
     tables = ((_PAIRS, pairs, sizes + 1, coarse), (_TRIPLES, pairs[:-1] * 16 + c[2:], sizes, coarse),
               (_FOURS, (pairs[:-2] * 251 + pairs[2:] * 17) & 4095, np.maximum(sizes - 1, 1), fine))
     for table, codes, n, total in tables:
@@ -176,7 +171,8 @@ def _simhashes(skeletons: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # each stretch is followed by what stands between it and the next
         begin = first[owner] + 255 * step
         end = np.minimum(begin + 255, (first + n)[owner])
-        words = np.concatenate([table[codes], np.zeros((2, 8), dtype=np.uint64)])
+        # the last row of each table counts nothing
+        words = table[np.concatenate([codes, [len(table) - 1] * 2])]
         counts = np.add.reduceat(words, np.stack([begin, end], axis=1).ravel(), axis=0)[::2].view(np.uint8).reshape(len(owner), 64)
         if len(owner) > len(n):
             np.add.at(total, owner, counts)
@@ -202,8 +198,10 @@ def _trusted_mark(mark: str) -> bool:
 
 def _filler(raw: str, node: str) -> bool:
     """A long run of words without short ones or names."""
+    if len(node) < FILLER_WORDS * LETTERS or "#" in node:
+        return False
     words = node.split()
-    if len(words) < FILLER_WORDS or not node.isascii() or "#" in node or len(node) < (LETTERS + 1) * len(words):
+    if len(words) < FILLER_WORDS or not node.isascii() or len(node) < (LETTERS + 1) * len(words):
         return False
     capital = sum(w[0].isupper() for w in raw.split())
     return len(set(words)) > 2 and sum(len(w) <= SHORT for w in words) * 20 <= len(words) and capital * 10 <= len(words)
@@ -211,6 +209,9 @@ def _filler(raw: str, node: str) -> bool:
 
 def _once(node: str) -> str:
     """One or two words said over and over become twice the same, however often they stand."""
+    first = node.partition(" ")[0]
+    if node.count(first) < 3:
+        return node
     words = node.split()
     for size in (1, 2):
         if len(words) > 2 * size and all(w == words[i % size] for i, w in enumerate(words)):
@@ -229,7 +230,8 @@ def segments(text: str, xs=None, ws=None) -> list[tuple[str, bool, int]]:
     for raw, node in zip(cut.split("\x1e"), _squeeze(cut).split("\x1e")):
         node = node.strip()
         if len(node) - node.count(" ") - node.count("#") >= MIN_LETTERS:
-            run.append((_once(node), _filler(raw, node), TEXT))
+            sure = _filler(raw, node)
+            run.append((_once(node), sure, FILLER if sure else TEXT))
     out += run
     if 1 < len(run) <= PAIRED:
         out += [(f"{a[0]} {b[0]}", False, PAIR) for a, b in itertools.pairwise(run)]
@@ -256,7 +258,7 @@ def candidates(documents: DataFrame) -> DataFrame:
 
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in documents.columns else F.lit("")
     pages = documents.where(F.length(F.trim("text")) > 0).select(
-        F.col("doc_id").cast("long"), F.xxhash64(source).alias("source"), "text",
+        F.col("doc_id").cast("long"), F.pmod(F.xxhash64(source), F.lit(64)).alias("source"), "text",
         F.transform("line_boxes", lambda x: F.struct(x["x"].alias("x"), x["w"].alias("w"))).alias("line_boxes"),
     )
     return pages.mapInArrow(run, "doc_id long, source long, node string, sim long, fine long, trusted boolean, kind int")
@@ -284,29 +286,39 @@ def _table_keys(sim: str):
     ])
 
 
+#: lengths in bands, each a quarter longer than the one before
+_BANDS, _STEP = 24, 1.25
+
+
+def _band(n):
+    return np.minimum(np.log(np.maximum(n, 1)) / np.log(_STEP), _BANDS - 1).astype(np.int64)
+
+
 def _hits(open_nodes: DataFrame, front_keys: DataFrame) -> DataFrame:
-    """(h, sim, fine, n, t, k): the keys of open nodes that some front node has too.
+    """(h, sim, fine, n, t, k): the keys of open nodes that a front node of fitting length has too.
 
-    The front's keys become one bitmap a table: 28 tables of 65,536 bits, 224 KB
-    whatever the data, which every task looks up for all tables at once.
+    The front's keys become one bit map a table and band of lengths: 28 x 24 maps of 65,536 bits,
+    5.5 MB whatever the data, which every task looks up for all tables at once.
     """
-    size = 1 << (2 * _WIDTH)
-    maps = np.zeros((len(_TABLES), size), dtype=bool)
-    grouped = front_keys.groupBy("t", F.bitmap_bucket_number(F.col("k").cast("long")).alias("b")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("k").cast("long"))).alias("m"))
+    maps = np.zeros((len(_TABLES), _BANDS, 1 << (2 * _WIDTH - 3)), dtype=np.uint8)
+    fits = front_keys.groupBy("t", "k").agg(F.min("n2").alias("low"), F.max("n2").alias("high"))
+    # texts alike by LIKE differ in length by at most this factor
+    factor = (2 - LIKE) / LIKE
+    band = lambda c: F.least(F.greatest(F.floor(F.ln(c) / np.log(_STEP)), F.lit(0)), F.lit(_BANDS - 1))
+    spread_out = fits.select("t", F.explode(F.sequence(band(F.greatest(F.col("low") / factor, F.lit(1.0))), band(F.col("high") * factor))).alias("band"), "k")
+    grouped = spread_out.groupBy("t", "band", F.shiftright("k", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("k").bitwiseAND(F.lit(32767))).alias("m"))
     for r in grouped.collect():
-        bits = np.flatnonzero(np.unpackbits(np.frombuffer(r["m"], dtype=np.uint8), bitorder="little"))
-        # bucket b > 0 holds (b - 1) * 32768 + 1 ..., bucket 0 holds 0
-        maps[r["t"], bits + (r["b"] - 1) * 32768 + 1 if r["b"] > 0 else bits] = True
+        maps[r["t"], r["band"], r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sim = b.column(1).to_numpy().view(np.uint64)
+            band = _band(b.column(3).to_numpy())
             block = [(sim >> np.uint64(i * _WIDTH) & np.uint64((1 << _WIDTH) - 1)).astype(np.int32) for i in range(BLOCKS)]
             rows, ts, ks = [], [], []
             for t, (x, y) in enumerate(_TABLES):
                 k = (block[x] << _WIDTH) + block[y]
-                hit = np.flatnonzero(maps[t, k])
+                hit = np.flatnonzero(maps[t][band, k >> 3] >> (k & 7).astype(np.uint8) & 1)
                 rows.append(hit)
                 ts.append(np.full(len(hit), t, dtype=np.int32))
                 ks.append(k[hit])
@@ -329,52 +341,57 @@ def _apart(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (h, sim, h2, sim2, ...) whose texts are alike."""
-    text = lambda h, s, n: nodes.select(F.col("h").alias(h), F.col("sim").alias(s), F.col("node").alias(n))
+    text = lambda h, s, n: texts.select(F.col("h").alias(h), F.col("sim").alias(s), F.col("node").alias(n))
     both = pairs.join(text("h", "sim", "n1"), ["h", "sim"]).join(text("h2", "sim2", "n2"), ["h2", "sim2"])
     # no texts this likely are farther apart, and this test needs no Python
     near = F.levenshtein("n1", "n2") <= (1 - LIKE) * (F.length("n1") + F.length("n2"))
     return both.where(near & F.arrow_udf(_alike, "boolean")("n1", "n2")).drop("n1", "n2")
 
 
-def spread(nodes: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, sim) of all nodes that a trusted label reaches; ``nodes`` has h, sim, fine,
-    node and n_pages, each node once; ``trusted`` has h and sim of some of them.  NULL
-    n_pages exempts a trusted node from the test on its family's size.
+def spread(rows: DataFrame, nodes: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, sim) of all nodes that a trusted label reaches.
+
+    ``nodes`` has h, sim, fine, n (length) and n_pages, each node once; ``rows`` has h, sim and
+    node (text) of every segment; ``trusted`` has h and sim of some nodes.  NULL n_pages exempts
+    a trusted node from the test on its family's size.
 
     Labels travel in rounds from the nodes labelled last to those without a
     label.  Links between unlabelled nodes carry nothing and are never made.
+    Texts are fetched for the nodes of near pairs only.
     """
     put, drop = scratch.put, scratch.drop
-    nodes = nodes.select("h", "sim", "fine", "node", F.length("node").alias("n"), "n_pages")
-    known = put(nodes.join(trusted, ["h", "sim"], "left_semi").select("h", "sim", F.col("sim").alias("lead"), "n_pages", F.lit(0).alias("turn"), F.lit(False).alias("off")), "known")
+    start = nodes.join(trusted, ["h", "sim"], "left_semi")
+    known = put(start.select("h", "sim", "fine", "n", F.col("sim").alias("lead"), "n_pages", F.lit(0).alias("turn"), F.lit(False).alias("off")), "known")
     turn = 0
     while True:
         front = known.where((F.col("turn") == turn) & ~F.col("off"))
         if not front.limit(1).count():
             return known.where(~F.col("off")).select("h", "sim")
         keys = put(
-            front.join(nodes.select("h", "sim", "fine", "n"), ["h", "sim"])
-            .select(F.col("h").alias("h2"), F.col("sim").alias("sim2"), F.col("fine").alias("fine2"), F.col("n").alias("n2"), "lead",
-                    _apart("sim", "lead").alias("r"), F.explode(_table_keys("sim")).alias("x"))
+            front.select(F.col("h").alias("h2"), F.col("sim").alias("sim2"), F.col("fine").alias("fine2"), F.col("n").alias("n2"), "lead",
+                         _apart("sim", "lead").alias("r"), F.explode(_table_keys("sim")).alias("x"))
             .select("h2", "sim2", "fine2", "n2", "lead", "r", "x.t", "x.k"), "keys")
-        hits = _hits(nodes.join(known, ["h", "sim"], "left_anti"), keys)
+        hits = _hits(nodes.join(known.select("h", "sim"), ["h", "sim"], "left_anti"), keys)
         families = keys.groupBy("t", "k", "lead").agg(F.max("r").alias("r"))
         near = hits.join(families, ["t", "k"]).where(_apart("sim", "lead") <= F.lit(HAMMING) + F.col("r")).drop("r")
         # texts of this likeness have lengths within the same bound
         fits = F.least("n", "n2") * 2 >= LIKE * (F.col("n") + F.col("n2"))
         close = (_apart("sim", "sim2") <= HAMMING) & (_apart("fine", "fine2") <= FINE)
         pairs = put(near.join(keys, ["t", "k", "lead"]).where(close & fits)
-                    .select("h", "sim", "h2", "sim2", "lead").distinct(), "pairs")
+                    .select("h", "sim", "fine", "n", "h2", "sim2", "lead").distinct(), "pairs")
+        wanted = pairs.select("h", "sim").unionByName(pairs.select(F.col("h2").alias("h"), F.col("sim2").alias("sim"))).distinct()
+        texts = put(rows.join(wanted, ["h", "sim"], "left_semi").groupBy("h", "sim").agg(F.min("node").alias("node")), "texts")
         # the nearest label first: most nodes need no other comparison
-        best = pairs.groupBy("h", "sim").agg(F.min_by(F.struct("h2", "sim2", "lead"), F.struct(_apart("sim", "sim2"), "h2", "sim2")).alias("x")).select(
-            "h", "sim", "x.h2", "x.sim2", "x.lead")
-        first = put(_linked(best, nodes).select("h", "sim", "lead"), "first")
-        others = _linked(pairs.join(first, ["h", "sim"], "left_anti"), nodes)
-        second = others.groupBy("h", "sim").agg(F.min_by("lead", F.struct(_apart("sim", "lead"), "lead")).alias("lead"))
+        best = pairs.groupBy("h", "sim", "fine", "n").agg(F.min_by(F.struct("h2", "sim2", "lead"), F.struct(_apart("sim", "sim2"), "h2", "sim2")).alias("x")).select(
+            "h", "sim", "fine", "n", "x.h2", "x.sim2", "x.lead")
+        first = put(_linked(best, texts).select("h", "sim", "fine", "n", "lead"), "first")
+        others = _linked(pairs.join(first, ["h", "sim"], "left_anti"), texts)
+        second = others.groupBy("h", "sim", "fine", "n").agg(F.min_by("lead", F.struct(_apart("sim", "lead"), "lead")).alias("lead"))
         turn += 1
-        news = first.unionByName(second).join(nodes.select("h", "sim", "n_pages"), ["h", "sim"]).withColumn("turn", F.lit(turn)).withColumn("off", F.lit(False))
+        news = first.unionByName(second)
+        news = nodes.select("h", "sim", "n_pages").join(news, ["h", "sim"]).withColumn("turn", F.lit(turn)).withColumn("off", F.lit(False))
         grown = put(known.unionByName(news), "grown")
         own = F.sum(F.when(F.col("turn") == 0, F.col("n_pages")))
         # a family without pages of its own root is a seed's: nothing to compare it with
@@ -382,17 +399,18 @@ def spread(nodes: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
         # its nodes stay in the list, without their label, so that no other round takes them up
         outgrown = outgrown.select("lead", F.lit(True).alias("grew"))
         new_known = put(grown.join(outgrown, "lead", "left").select(
-            "h", "sim", "lead", "n_pages", "turn", (F.col("off") | F.coalesce("grew", F.lit(False))).alias("off")), "known")
-        drop(keys, pairs, first, grown, known)
+            "h", "sim", "fine", "n", "lead", "n_pages", "turn", (F.col("off") | F.coalesce("grew", F.lit(False))).alias("off")), "known")
+        drop(keys, pairs, texts, first, grown, known)
         known = new_known
 
 
 def labelled(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Skeletons of all classes that a trusted label reaches; ``rows`` has node, skeleton, sim, trusted."""
-    nodes = scratch.put(
-        rows.groupBy(_key(), "sim").agg(F.max("trusted").alias("trusted"), F.min("node").alias("node"), F.min("skeleton").alias("skeleton"), F.lit(None).cast("long").alias("n_pages"),
-            F.lit(0).cast("long").alias("fine")), "nodes")
-    return nodes.join(spread(nodes, nodes.where("trusted").select("h", "sim"), scratch), ["h", "sim"], "left_semi").select("skeleton")
+    rows = scratch.put(rows.withColumn("h", _key()), "rows")
+    nodes = scratch.put(rows.groupBy("h", "sim").agg(
+        F.max("trusted").alias("trusted"), F.min("skeleton").alias("skeleton"), F.lit(None).cast("long").alias("n_pages"),
+        F.lit(0).cast("long").alias("fine"), F.min(F.length("node")).alias("n")), "nodes")
+    return nodes.join(spread(rows, nodes, nodes.where("trusted").select("h", "sim"), scratch), ["h", "sim"], "left_semi").select("skeleton")
 
 
 def _seeds(rows: DataFrame) -> DataFrame:
@@ -408,27 +426,27 @@ def _labels(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     """(rows of all segments, (h, sim) of the labelled nodes)."""
     put = scratch.put
     rows = candidates(documents)
-    rows = put(rows.unionByName(_seeds(rows)).withColumn("skeleton", _skeleton_column()).withColumn("h", F.xxhash64("skeleton")).drop("skeleton"), "segments")
-    # one row a node and source first, so that a message on most pages is a few rows a task
-    per_source = rows.groupBy("h", "sim", "source").agg(
-        F.max("trusted").alias("trusted"), F.min("node").alias("node"), F.min("fine").alias("fine"), F.count("doc_id").alias("n"))
-    nodes = put(per_source.groupBy("h", "sim").agg(
-        F.max("trusted").alias("trusted"), F.min("node").alias("node"), F.min("fine").alias("fine"), F.count("source").alias("n_sources"), F.sum("n").alias("n_pages")), "nodes")
+    rows = put(rows.unionByName(_seeds(rows)).withColumn("skeleton", _skeleton_column()).withColumn("h", _key()).drop("skeleton"), "segments")
+    # numbers only, so that a message on most pages is one row a task; sources are counted by class, one bit each
+    classes = F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(source as int))")))
+    nodes = put(rows.groupBy("h", "sim").agg(
+        F.max((F.col("trusted") & (F.col("kind") != FILLER)).cast("int")).alias("trusted"), F.min("fine").alias("fine"), F.min(F.length("node")).alias("n"),
+        classes.alias("n_sources"), F.count("doc_id").alias("n_pages")), "nodes")
     common = nodes.where(F.col("n_sources") >= COMMON).select("h", "sim", F.lit(1).alias("common"))
-    texts = rows.where((F.col("kind") != MARKED) & F.col("doc_id").isNotNull())
+    texts = rows.where(F.col("kind").isin(TEXT, PAIR, FILLER) & F.col("doc_id").isNotNull()).select("h", "sim", "doc_id", "source", "kind")
     wholly = (
-        texts.where(F.col("kind") == TEXT).join(common, ["h", "sim"], "left").groupBy("doc_id").agg(F.min(F.coalesce("common", F.lit(0))).alias("all_common"))
+        texts.where(F.col("kind") != PAIR).join(common, ["h", "sim"], "left").groupBy("doc_id").agg(F.min(F.coalesce("common", F.lit(0))).alias("all_common"))
         .where(F.col("all_common") == 1).select("doc_id")
     )
     repeated = (
-        texts.join(wholly, "doc_id", "left_semi").groupBy("h", "sim", "source").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("h", "sim").agg(F.sum("n").alias("n_wholly"), F.count(F.lit(1)).alias("n_wholly_sources")).where(F.col("n_wholly_sources") >= SOURCES)
+        texts.join(wholly, "doc_id", "left_semi").groupBy("h", "sim").agg(F.count(F.lit(1)).alias("n_wholly"), classes.alias("n_wholly_sources"))
+        .where(F.col("n_wholly_sources") >= SOURCES)
     )
     repeated = nodes.join(repeated, ["h", "sim"]).where(F.col("n_wholly") >= SHARE * F.col("n_pages")).select("h", "sim")
-    trusted = put(nodes.where("trusted").select("h", "sim").unionByName(repeated).distinct(), "trusted")
+    trusted = put(nodes.where(F.col("trusted") == 1).select("h", "sim").unionByName(repeated).distinct(), "trusted")
     # the seeds have no pages
-    nodes = nodes.withColumn("n_pages", F.when(F.col("n_pages") > 0, F.col("n_pages")))
-    return rows, spread(nodes, trusted, scratch)
+    nodes = nodes.select("h", "sim", "fine", "n", F.when(F.col("n_pages") > 0, F.col("n_pages")).alias("n_pages"))
+    return rows, spread(rows, nodes, trusted, scratch)
 
 
 def find(documents: DataFrame) -> DataFrame:
@@ -444,8 +462,9 @@ def find(documents: DataFrame) -> DataFrame:
 def classes(documents: DataFrame) -> DataFrame:
     """Residue nodes: least text, pages, and whether the segment was trusted by itself."""
     rows, known = _labels(documents, Scratch(documents.sparkSession, "residue"))
+    pages = rows.where(F.col("doc_id").isNotNull())
     return (
-        rows.where(F.col("doc_id").isNotNull()).join(known, ["h", "sim"], "left_semi")
+        pages.where(F.col("kind") != FILLER).join(known, ["h", "sim"], "left_semi").unionByName(pages.where(F.col("kind") == FILLER))
         .groupBy("h", "sim", "doc_id").agg(F.min("node").alias("node"), F.max(F.col("trusted").cast("int")).alias("trusted"))
         .groupBy("h", "sim").agg(F.min("node").alias("text"), F.count("doc_id").alias("n_pages"), F.max("trusted").alias("by_pattern"))
         .withColumn("skeleton", _skeleton_column("text")).select("skeleton", "text", "n_pages", "by_pattern")

@@ -127,7 +127,7 @@ def test_a_common_sentence_loses_its_labels(spark):
     names = ["Rosba", "Ella", "Tamto", "Vervi", "Istel", "Morgo", "Quind", "Pelto", "Hesba", "Korla"]
     texts = [f"the bells of the old town were rung for # minutes when {n} came home" for n in names] + ["this page is closed while the shelves are counted"] * 1
     sims = residue.simhashes([residue.skeleton(t) for t in texts])
-    rows = [(i, int(a), int(b), t, 1) for i, (t, a, b) in enumerate(zip(texts, *sims))]
-    nodes = spark.createDataFrame(rows, "h long, sim long, fine long, node string, n_pages long")
-    trusted = nodes.where("h in (0, 10)").select("h", "sim")
-    assert {r.h for r in residue.spread(nodes, trusted, Scratch(spark, "t")).collect()} == {10}
+    rows = spark.createDataFrame([(i, int(a), int(b), t, len(t), 1) for i, (t, a, b) in enumerate(zip(texts, *sims))],
+                                 "h long, sim long, fine long, node string, n int, n_pages long")
+    trusted = rows.where("h in (0, 10)").select("h", "sim")
+    assert {r.h for r in residue.spread(rows, rows.drop("node"), trusted, Scratch(spark, "t")).collect()} == {10}
