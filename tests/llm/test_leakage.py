@@ -122,3 +122,47 @@ def test_slot_check_drops_nothing_that_the_comparison_accepts():
         page = [w if rng.random() < 0.8 else w[::-1] for w in words]
         if leakage.longest_run(words, items.slots[0], page) >= 15:
             assert items.possible(0, set(page))
+
+
+def test_other_numbers_and_one_town_are_no_leak(data):
+    """Every number with another last digit, one town replaced: at most eleven words on end are the item's own."""
+    rows, items = data
+    for i, text in rows:
+        other = " ".join(w[:-1] + str((int(w[-1]) + 3) % 10) if w.isdigit() else w for w in text.split())
+        town = next(w for w in text.split() if w in TOWNS)
+        other = other.replace(town, next(t for t in TOWNS if t not in text))
+        assert items.leaks(FILLER + other + FILLER) == [], i
+
+
+def test_plain_item_without_names_or_numbers():
+    text = ("when the long rain was over all of the small boats were drawn up on the wet sand beside the "
+            "old mill and nobody knew who had brought them there")
+    items = leakage.Items([(1, text), (2, text.replace("boats", "wagons").replace("sand", "gravel"))])
+    assert items.leaks(FILLER + text + FILLER) == [1]
+
+
+def test_result_is_the_same_for_any_number_of_items(spark, data):
+    rows, _ = data
+    rng = random.Random(8)
+    words = ["alder", "beech", "cedar", "lime", "maple", "oak", "pine", "rowan", "willow", "yew"]
+    many = [(1000 + i, " ".join(rng.choice(words) + rng.choice("abcdef") for _ in range(20)) + f" {make(rng)}") for i in range(6_000)]
+    docs = spark.createDataFrame([(1, FILLER + rows[3][1], None), (2, " ".join(words_of(rows[5][1])[4:21]), None), (3, FILLER, None)],
+                                 "doc_id long, text string, line_boxes array<struct<x:int,y:int,w:int,h:int,conf:int>>")
+    frame = lambda x: spark.createDataFrame(x, "item_id long, text string")
+    few = {tuple(r) for r in leakage.find(docs, frame(rows)).collect()}
+    assert few == {(1, rows[3][0]), (2, rows[5][0])}
+    assert {tuple(r) for r in leakage.find(docs, frame(rows + many)).collect() if r.item_id < 1000} == few
+
+
+def test_join_finds_what_one_page_at_a_time_finds(spark, data):
+    rows, items = data
+    rng = random.Random(9)
+    texts = []
+    for i in range(40):
+        w = words_of(rng.choice(rows)[1])
+        a = rng.randrange(0, len(w) - 12)
+        part = [x if rng.random() < 0.9 else x.replace("e", "c").replace("n", "u") for x in w[a : a + rng.randrange(10, 30)]]
+        texts.append((i, FILLER + " ".join(part) + " . " + FILLER, None))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, line_boxes array<struct<x:int,y:int,w:int,h:int,conf:int>>")
+    got = {tuple(r) for r in leakage.find(docs, spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    assert got == {(d, k) for d, t, _ in texts for k in items.leaks(t)} != set()
