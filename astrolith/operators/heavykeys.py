@@ -13,12 +13,15 @@ are put together with a union.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: entries of the frequent-items sketch; its error is about 3.5 / ITEMS of all rows
 ITEMS = 16384
+#: candidates that a sketch names at most; smaller shares are counted without one
+CANDIDATES = 4096
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
@@ -26,24 +29,29 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
 
     Missing keys (NULL, '') never count as a key, but their rows count in the
     total.  Ties at the threshold are included.  An empty frame gives no rows.
+    Where the share allows more than CANDIDATES / 2 heavy keys, no sketch names
+    them all: then every key is counted, by map-side aggregation.
     Returns (key_value string, n_rows bigint).
     """
     if not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
-    k = min(4096, int(2 / share) + 16)
+    k = int(2 / share) + 16
     text = df.select(F.col(key).cast("string").alias("k"))
     known = text.where(F.col("k").isNotNull() & (F.col("k") != ""))
+    total = text.agg(F.count(F.lit(1)).alias("total"))
+    # decimal, so that a tie at the threshold is one
+    least = F.lit(Decimal(str(share))) * F.col("total").cast("decimal(20,0)")
+    if k > CANDIDATES:
+        counts = known.groupBy(F.col("k").alias("key_value")).agg(F.count(F.lit(1)).alias("n_rows"))
+        return counts.join(F.broadcast(total), F.col("n_rows") >= least).select("key_value", "n_rows")
     sketch = known.agg(F.expr(f"approx_top_k(k, {k}, {max(ITEMS, 4 * k)})").alias("top"))
     candidates = sketch.select(F.explode("top.item").alias("key_value"))
-    total = text.agg(F.count(F.lit(1)).alias("total"))
     exact = (
         known.join(F.broadcast(candidates), F.col("k") == F.col("key_value"), "left_semi")
         .groupBy(F.col("k").alias("key_value"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
     # one row on the right: a scalar, not a growing side
-    # decimal, so that a tie at the threshold is one
-    least = F.lit(Decimal(str(share))) * F.col("total").cast("decimal(20,0)")
     return exact.join(F.broadcast(total), F.col("n_rows") >= least).select("key_value", "n_rows")
 
 
@@ -105,6 +113,17 @@ def heavy_values(df: DataFrame, key: str, share: float = 0.01) -> list:
     return [r["key_value"] for r in heavy_keys(df, key, share).collect()]
 
 
+def heavy_values_of(columns: list[tuple[DataFrame, str]], share: float = 0.01) -> list[list[str]]:
+    """For each (frame, column) its values that hold at least ``share`` of the rows of
+    all frames together, by one sketch and one recount; at most ``1 / share`` in all."""
+    marked = [df.select(F.concat(F.lit(f"{i}:"), F.col(c).cast("string")).alias("k")) for i, (df, c) in enumerate(columns)]
+    found: list[list[str]] = [[] for _ in columns]
+    for v in heavy_values(reduce(DataFrame.unionByName, marked), "k", share):
+        i, _, value = v.partition(":")
+        found[int(i)].append(value)
+    return found
+
+
 def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", share: float = 0.01) -> DataFrame:
     """Join on one text key of which a few values may hold most rows of ``big``.
 

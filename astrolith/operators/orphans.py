@@ -24,8 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.window import Window
 
-from astrolith.operators.heavykeys import heavy_values
+from astrolith.operators.heavykeys import heavy_values_of
 from astrolith.runtime import Scratch, present
 
 #: bits of one bitmap of Spark's bitmap functions
@@ -102,20 +103,17 @@ def orphans(
     )
     parent_months = (
         arrived.join(coded, ["space", "key"])
-        .groupBy("space", bucket.alias("bucket"), F.date_format("first_at", "yyyy-MM").alias("since"))
+        .groupBy("space", bucket.alias("bucket"), F.date_format("first_at", "yyyy-MM").alias("month"))
         .agg(F.bitmap_construct_agg(bit).alias("map"))
     )
-    # what had arrived before the month: OR over the earlier months' bitmaps
-    months = wanted.select("space", "month").distinct()
-    parent_bits = (
-        parent_months.join(F.broadcast(months), "space")  # one row a space and month: calendar-bounded
-        .where(F.col("since") < F.col("month"))
-        .groupBy("space", "bucket", "month")
-        .agg(F.bitmap_or_agg("map").alias("parent_map"))
-    )
+    # what had arrived before the month: a running OR along the months of each bucket, in which
+    # a month's references stand before its parents; as many rows a bucket as it has months and tables
+    ordered = ref_bits.withColumn("map", F.lit(None).cast("binary")).unionByName(
+        parent_months.select("space", F.lit(None).cast("string").alias("table_name"), "month", "bucket", F.lit(None).cast("binary").alias("ref_map"), "map"))
+    along = Window.partitionBy("space", "bucket").orderBy("month", F.col("map").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     survive = F.pandas_udf(_and_not, ArrayType(IntegerType()))
     alive = (
-        ref_bits.join(parent_bits, ["space", "bucket", "month"], "left")
+        ordered.withColumn("parent_map", F.bitmap_or_agg("map").over(along)).where(F.col("ref_map").isNotNull())
         .select("space", "table_name", "month", "bucket",
                 F.explode(survive("ref_map", "parent_map")).alias("pos"))
         .select("space", "table_name", "month", (F.col("bucket") * BITS + F.col("pos")).alias("code"))
@@ -133,14 +131,14 @@ def orphans(
     )
 
     out = []
-    for r in refs:
+    # at most 100 keys are heavy in all; each has one suspect row a month
+    heavies = heavy_values_of([(r.rows.where(present(r.column)), r.column) for r in refs])
+    for r, heavy in zip(refs, heavies):
         rows = r.rows.where(present(r.column)).select(
             F.col(row_id).alias("seq"), F.col(r.column).cast("string").alias("key"),
             F.col(arrival).alias("at"), F.coalesce(month, F.lit("")).alias("month"),
         )
         mine = suspects.where(F.col("table_name") == r.table_name).drop("table_name")
-        # at most 100 keys are heavy; each has one suspect row a month
-        heavy = heavy_values(r.rows.where(present(r.column)).select(F.col(r.column).cast("string").alias("key")), "key")
         hot = F.col("key").isin(heavy) if heavy else F.lit(False)
         joined = rows.where(~hot).join(mine.where(~hot), ["key", "month"])
         if heavy:

@@ -143,11 +143,10 @@ def class_subtree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Values holding at least 2 % of all rows of src_calls."""
-    calls = read(spark, d, "src_calls")
+    """Values holding at least 2 % of all rows of src_calls: the heavy part of the per-key results."""
     parts = [
-        heavykeys.heavy_keys(calls, c, 0.02).select(F.lit(c).alias("field_name"), "key_value")
-        for c in ("callee_name", "caller_usr")
+        f(spark, d).where(F.col("is_heavy") == 1).select(F.lit(c).alias("field_name"), "key_value")
+        for c, f in (("callee_name", p6_callee_stats), ("caller_usr", p6_caller_stats))
     ]
     return parts[0].unionByName(parts[1])
 

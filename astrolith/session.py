@@ -26,6 +26,10 @@ _IDENTIFIER = re.compile(r"[A-Za-z_]\w*\Z")
 INTEGER_COLUMNS = frozenset(f.name.lower() for t in TABLES.values() for f in t.schema if f.dataType.typeName() in ("long", "integer"))
 
 
+#: rows that ``exec`` brings to the driver at most
+MOST_ROWS = 200_000
+
+
 class SessionError(RuntimeError):
     pass
 
@@ -49,6 +53,7 @@ class FactSession:
         self.schemas: dict[str, Attached] = {}
         self.default_args: list[str] = []
         self.compile_db: list[compile_db.Command] | None = None
+        self._commands: dict[str, compile_db.Command] = {}
         self.cache: facts.FactCache | None = None
         self.last_error = ""
         spark.conf.set("spark.sql.cteRecursionLevelLimit", "100000")
@@ -67,6 +72,7 @@ class FactSession:
 
     def load_compile_commands(self, path: str) -> bool:
         self.compile_db = compile_db.load(path)
+        self._commands = compile_db.by_path(self.compile_db or [])
         return self.compile_db is not None
 
     def enable_cache(self, folder: str, verbose: bool = False) -> None:
@@ -80,7 +86,7 @@ class FactSession:
 
     def arguments(self, path: str, args: list[str]) -> list[str]:
         """Compile database first, then defaults, then per-attachment."""
-        found = compile_db.find(self.compile_db, path) if self.compile_db else None
+        found = self._commands.get(os.path.realpath(path))
         return [*(compile_db.extract_flags(found) if found else []), *self.default_args, *args]
 
     # -- attaching -----------------------------------------------------------
@@ -192,11 +198,18 @@ class FactSession:
             self.last_error = str(e).split("\n")[0]
             raise SessionError(self.last_error) from e
 
-    def exec(self, sql: str, dialect_name: str = "compat") -> tuple[list[str], list[list], str]:
-        """(columns, rows, error) for the printers and servers."""
+    def exec(self, sql: str, dialect_name: str = "compat", most: int = MOST_ROWS) -> tuple[list[str], list[list], str]:
+        """(columns, rows, error) for the printers and servers.
+
+        A result of more than ``most`` rows is an error, never a cut list: the
+        driver takes no unbounded result.  ``query`` gives the whole frame.
+        """
         try:
             df = self.query(sql, dialect_name)
-            rows = [list(r) for r in df.collect()]
+            rows = [list(r) for r in df.limit(most + 1).collect()]
+            if len(rows) > most:
+                self.last_error = f"more than {most} rows; add a LIMIT or write the result of query()"
+                return [], [], self.last_error
             return df.columns, rows, ""
         except SessionError as e:
             return [], [], str(e)

@@ -74,7 +74,7 @@ def extract(spark: SparkSession, files: list[str], args: list[str] = (), staged:
         schema = table.schema
         df = rows.where(F.col("table_name") == name).select(F.from_json("payload", schema).alias("r"), "tu_ord", "seq")
         df = df.select("r.*", "tu_ord", "seq")
-        out[name] = df.select(*staged_schema(table).names) if staged else df.orderBy("tu_ord", "seq").select(*schema.names)
+        out[name] = df.select(*staged_schema(table).names) if staged else df.select(*schema.names)
     return out
 
 

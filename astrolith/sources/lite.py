@@ -64,7 +64,7 @@ class Unit:
     def id_of(self, kind: str, usr: str) -> int:
         key = (kind, usr)
         if key not in self.ids:
-            self.ids[key] = sum(k == kind for k, _ in self.ids) + 1
+            self.ids[key] = self.next(f"id of {kind}")
         return self.ids[key]
 
     def file_id(self, path: str) -> int:

@@ -60,3 +60,15 @@ def test_clashing_columns(spark):
 def test_ties_at_the_threshold_are_heavy(spark):
     df = spark.createDataFrame([("a",)] * 7 + [(f"r{i}",) for i in range(343)], "k string")
     assert [tuple(r) for r in heavykeys.heavy_keys(df, "k", 0.02).collect()] == [("a", 7)]
+
+
+def test_more_heavy_keys_than_a_sketch_names(spark):
+    df = spark.range(60_000).selectExpr("concat('k', id % 6000) AS k")
+    got = heavykeys.heavy_keys(df, "k", 0.0001).collect()
+    assert len(got) == 6000 and {r.n_rows for r in got} == {10}
+
+
+def test_heavy_values_of_several_tables(spark):
+    a = spark.range(100).selectExpr("CASE WHEN id < 60 THEN 'x:y' ELSE CAST(id AS STRING) END AS c")
+    b = spark.range(100).selectExpr("CASE WHEN id < 50 THEN 7 ELSE id + 1000 END AS c")
+    assert heavykeys.heavy_values_of([(a, "c"), (b, "c")], 0.2) == [["x:y"], ["7"]]
