@@ -58,7 +58,7 @@ from astrolith.runtime import Scratch, workers_can_import
 #: every pair up to BLOCKS - 2 bits apart shares a table; farther ones up to HAMMING may
 BLOCKS, HAMMING, LIKE = 8, 12, 0.8
 #: bits by which the finer SimHash (groups of four) of texts that alike may differ
-FINE = 20
+FINE = 18
 #: sources that must repeat every segment of a page (sources count by 64 classes, so that two may count as one); sources and share of pages of that sort that a segment needs
 COMMON, SOURCES, SHARE = 3, 2, 0.2
 MIN_LETTERS = 8
@@ -138,6 +138,9 @@ def _bits(group: str, size: int) -> np.ndarray:
 _CLASS = np.array([{" ": 0, "#": 1, "o": 2, "h": 3, "n": 4, "l": 5, "s": 6, "g": 7, "d": 8, "x": 9}.get(chr(i), 10 + i % 6) for i in range(256)], dtype=np.int64)
 _PAIRS, _TRIPLES, _FOURS = (
     np.stack([*(_bits(str(i), size) for i in range(n)), np.zeros(8, dtype=np.uint64)]) for size, n in ((2, 256), (3, 4096), (4, 4096)))
+#: a triple with the pair it begins with, for both at once
+_BOTH = _TRIPLES.copy()
+_BOTH[:4096] += np.repeat(_PAIRS[:256], 16, axis=0)
 #: skeletons hashed at once: the counters of a stretch stay in the cache
 _CHUNK = 2_000
 
@@ -145,8 +148,8 @@ _CHUNK = 2_000
 def simhashes(skeletons: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Signed 64-bit SimHashes of each skeleton: of its letter pairs and triples, and of its groups of four.
 
-    Byte-wide counters, eight in a word, are summed in stretches of at most 255
-    groups, and the stretches in whole numbers.
+    Byte-wide counters, eight in a word, are summed in stretches that cannot
+    overflow them, and the stretches in whole numbers.
     """
     got = [_simhashes(skeletons[i : i + _CHUNK]) for i in range(0, len(skeletons), _CHUNK)]
     if not got:
@@ -162,20 +165,22 @@ def _simhashes(skeletons: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
     pairs = c[:-1] * 16 + c[1:]
     coarse, fine = np.zeros((len(sizes), 64), dtype=np.int32), np.zeros((len(sizes), 64), dtype=np.int32)
-    tables = ((_PAIRS, pairs, sizes + 1, coarse), (_TRIPLES, pairs[:-1] * 16 + c[2:], sizes, coarse),
-              (_FOURS, (pairs[:-2] * 251 + pairs[2:] * 17) & 4095, np.maximum(sizes - 1, 1), fine))
-    for table, codes, n, total in tables:
-        parts = -(-n // 255)
+    # the pair that no triple begins with is each skeleton's last
+    coarse += _PAIRS[pairs[first + sizes]].view(np.uint8).reshape(len(sizes), 64)
+    tables = ((_BOTH, pairs[:-1] * 16 + c[2:], sizes, coarse, 127),
+              (_FOURS, (pairs[:-2] * 251 + pairs[2:] * 17) & 4095, np.maximum(sizes - 1, 1), fine, 255))
+    for table, codes, n, total, most in tables:
+        parts = -(-n // most)
         owner = np.repeat(np.arange(len(n)), parts)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
         # each stretch is followed by what stands between it and the next
-        begin = first[owner] + 255 * step
-        end = np.minimum(begin + 255, (first + n)[owner])
+        begin = first[owner] + most * step
+        end = np.minimum(begin + most, (first + n)[owner])
         # the last row of each table counts nothing
         words = table[np.concatenate([codes, [len(table) - 1] * 2])]
         counts = np.add.reduceat(words, np.stack([begin, end], axis=1).ravel(), axis=0)[::2].view(np.uint8).reshape(len(owner), 64)
         if len(owner) > len(n):
-            np.add.at(total, owner, counts)
+            total += np.add.reduceat(counts.astype(np.int32), np.cumsum(parts) - parts, axis=0)
         else:
             total += counts
     pack = lambda total, n: np.packbits(total * 2 > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()
@@ -253,7 +258,7 @@ def candidates(documents: DataFrame) -> DataFrame:
             nodes, trusted, kinds = zip(*found) if found else ((), (), ())
             pick = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pick), b.column(1).take(pick), pa.array(nodes, pa.string()), *map(pa.array, simhashes(skeleton("\x1e".join(nodes)).split("\x1e") if nodes else [])),
+                [b.column(0).take(pick), b.column(1).take(pick), pa.array(nodes, pa.string()), *map(pa.array, simhashes([skeleton(n) for n in nodes])),
                  pa.array(trusted, pa.bool_()), pa.array(kinds, pa.int32())], names=names)
 
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in documents.columns else F.lit("")
@@ -431,7 +436,7 @@ def _labels(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     classes = F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(source as int))")))
     nodes = put(rows.groupBy("h", "sim").agg(
         F.max((F.col("trusted") & (F.col("kind") != FILLER)).cast("int")).alias("trusted"), F.min("fine").alias("fine"), F.min(F.length("node")).alias("n"),
-        classes.alias("n_sources"), F.count("doc_id").alias("n_pages")), "nodes")
+        classes.alias("n_sources"), F.count("doc_id").alias("n_pages"), F.max((F.col("kind") != PAIR).cast("int")).alias("single")), "nodes")
     common = nodes.where(F.col("n_sources") >= COMMON).select("h", "sim", F.lit(1).alias("common"))
     texts = rows.where(F.col("kind").isin(TEXT, PAIR, FILLER) & F.col("doc_id").isNotNull()).select("h", "sim", "doc_id", "source", "kind")
     wholly = (
@@ -444,7 +449,8 @@ def _labels(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     )
     repeated = nodes.join(repeated, ["h", "sim"]).where(F.col("n_wholly") >= SHARE * F.col("n_pages")).select("h", "sim")
     trusted = put(nodes.where(F.col("trusted") == 1).select("h", "sim").unionByName(repeated).distinct(), "trusted")
-    # the seeds have no pages
+    # pairs of segments give labels, but take none; the seeds have no pages
+    nodes = nodes.join(trusted.withColumn("t", F.lit(1)), ["h", "sim"], "left").where((F.col("single") == 1) | F.col("t").isNotNull())
     nodes = nodes.select("h", "sim", "fine", "n", F.when(F.col("n_pages") > 0, F.col("n_pages")).alias("n_pages"))
     return rows, spread(rows, nodes, trusted, scratch)
 
