@@ -221,12 +221,14 @@ def _walk(item: list[str], slots: list[bool], page: list[str], i: int, j: int, d
                 sure = (i, j, held, met)
             continue
         for di, dj in _CUTS:
-            if not (0 <= i + d * (di - 1) < n and 0 <= j + d * (dj - 1) < m):
+            lo, low = (i, j) if d > 0 else (i - di + 1, j - dj + 1)
+            if lo < 0 or low < 0 or lo + di > n or low + dj > m:
                 continue
-            own = range(i, i + d * di, d)
-            x, y = [item[k] for k in own], [page[k] for k in range(j, j + d * dj, d)]
-            x, y = "".join(x[::d]), "".join(y[::d])
-            value = any(slots[k] for k in own)
+            x, y = "".join(item[lo : lo + di]), "".join(page[low : low + dj])
+            # a ratio of LIKE_CUT needs lengths within the same bound
+            if 2 * min(len(x), len(y)) < LIKE_CUT * (len(x) + len(y)):
+                continue
+            value = any(slots[lo : lo + di])
             if x == y or (_same_slot(x, y) if value else len(x) > 3 and _like(x, y) >= LIKE_CUT):
                 met += value
                 held += value and x == y
@@ -251,19 +253,26 @@ def _behind_insert(item: list[str], page: list[str], i: int, j: int, d: int) ->
     ahead = item[i : i + 3] if d > 0 else item[max(0, i - 2) : i + 1][::-1]
     if len(ahead) < 2:
         return None
-    for k in range(j + d, j + d * (MAX_INSERT + 1), d):
-        if not 0 <= k < m:
-            return None
-        if page[k] == ahead[0] and 0 <= k + d * (len(ahead) - 1) < m and all(page[k + d * t] == w for t, w in enumerate(ahead)):
+    if d > 0:
+        near = page[j + 1 : j + 1 + MAX_INSERT]
+    else:
+        near = page[max(0, j - MAX_INSERT) : j][::-1]
+    at = -1
+    while ahead[0] in near[at + 1 :]:
+        at = near.index(ahead[0], at + 1)
+        k = j + d * (at + 1)
+        if 0 <= k + d * (len(ahead) - 1) < m and all(page[k + d * t] == w for t, w in enumerate(ahead)):
             return k
     return None
 
 
-def longest_run(item: list[str], slots: list[bool], page: list[str], anchors: list[tuple[int, int]] | None = None) -> int:
+def longest_run(
+    item: list[str], slots: list[bool], page: list[str], anchors: list[tuple[int, int]] | None = None, enough: int | None = None
+) -> int:
     """Most consecutive item words that the page repeats with consistent slots.
 
     ``anchors`` are positions (item, page) of windows that agree; without them
-    all pairs of equal neighbouring words are."""
+    all pairs of equal neighbouring words are.  A run of ``enough`` ends the search."""
     if anchors is None:
         at = defaultdict(list)
         for i in range(len(item) - 1):
@@ -280,6 +289,8 @@ def longest_run(item: list[str], slots: list[bool], page: list[str], anchors: li
         done.append((a, b, c, e))
         if b - a > best and held + held_before >= SLOTS * (met + met_before):
             best = b - a
+            if enough and best >= enough:
+                break
     return best
 
 
@@ -325,7 +336,7 @@ class Items:
         for j, w in enumerate(zip(t.tolist(), s.tolist())):
             for k, at in self.table.get(w, ()):
                 anchors[k].append((at, j))
-        return sorted(self.ids[k] for k, a in anchors.items() if longest_run(self.words[k], self.slots[k], page, a) >= MIN_WORDS)
+        return sorted(self.ids[k] for k, a in anchors.items() if longest_run(self.words[k], self.slots[k], page, a, MIN_WORDS) >= MIN_WORDS)
 
 
 def _vocabulary(words: Iterable[list[str]]) -> list[str]:
@@ -383,9 +394,10 @@ def find(documents: DataFrame, items: DataFrame) -> DataFrame:
     hits = pages.select("doc_id", F.explode("hits").alias("x")).select("doc_id", "x.page_at", "x.key", "x.slot_key")
     # the template windows meet, and their slots agree; a window that many items or pages share is split by AQE
     pairs = hits.join(windows, ["key", "slot_key"]).groupBy("doc_id", "item_id").agg(
-        F.collect_list(F.struct("at", "page_at")).alias("anchors"))
+        F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("page_at")).alias("anchors"))
+    flags = F.array_join(F.transform("slots", lambda x: F.when(x, "1").otherwise("0")), "")
     ready = (
-        pairs.join(known.select("item_id", F.array_join("words", " ").alias("item"), "slots"), "item_id")
+        pairs.join(known.select("item_id", F.array_join("words", " ").alias("item"), flags.alias("slots")), "item_id")
         .join(pages.select("doc_id", "words"), "doc_id").select("doc_id", "item_id", "words", "item", "slots", "anchors")
     )
     return ready.mapInArrow(_verify, "doc_id long, item_id long").distinct()
@@ -455,18 +467,18 @@ def _pages(documents: DataFrame, vocabulary: list[str], bits: np.ndarray) -> Dat
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: tuple[int | None, list[str]] = (None, [])
+    low = (1 << 32) - 1
     for b in batches:
         docs, found = [], []
-        columns = [b.column(i) for i in range(6)]
-        for d, i, words, item, slots, anchors in zip(*(c.to_pylist() for c in columns)):
+        items: dict[int, tuple[list[str], list[bool]]] = {}
+        flat, ends = b.column(5).values.to_pylist(), b.column(5).offsets.to_pylist()
+        for k, (d, i, words, item, slots) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)))):
             if last[0] != d:
                 last = (d, words.split(" "))
-            if longest_run(item_words(item), slots, last[1], [(x["at"], x["page_at"]) for x in anchors]) >= MIN_WORDS:
+            if i not in items:
+                items[i] = ([fold(w) for w in item.split(" ")], [x == "1" for x in slots])
+            anchors = [(x >> 32, x & low) for x in flat[ends[k] : ends[k + 1]]]
+            if longest_run(*items[i], last[1], anchors, MIN_WORDS) >= MIN_WORDS:
                 docs.append(d)
                 found.append(i)
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "item_id"])
-
-
-def item_words(joined_words: str) -> list[str]:
-    """Folded words of an item from its raw ones."""
-    return [fold(w) for w in joined_words.split(" ")]
