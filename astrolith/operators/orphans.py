@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from astrolith.operators.heavykeys import heavy_values_of
-from astrolith.runtime import Scratch, present
+from astrolith.runtime import Scratch, present, workers_can_import
 
 #: bits of one bitmap of Spark's bitmap functions
 BITS = 32768
@@ -68,6 +68,7 @@ def orphans(
     'missing', 'deleted' or 'late' (all target rows arrived after the row).
     """
     spark = refs[0].rows.sparkSession
+    workers_can_import(spark)
     scratch = Scratch(spark, "orphans")
     put = scratch.put
     union = lambda frames: reduce(DataFrame.unionByName, frames)
