@@ -50,7 +50,8 @@ from astrolith.runtime import Scratch, workers_can_import
 MIN_WORDS = 15
 #: page words that may stand between two neighbouring words of a passage: an advert of several lines
 MAX_INSERT = 60
-#: least likeness of letters of a misread word, of one cut or put together, and share of slots that must be exact
+#: least likeness of letters of a misread word, of one cut or put together, and share of slots that
+#: must hold but for letters that scanners confuse
 LIKE, LIKE_CUT, SLOTS = 0.55, 0.75, 0.6
 #: bound of the vocabulary, and bits of the filter in front of the join
 VOCABULARY = 200_000
@@ -177,6 +178,18 @@ def _like(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+#: fixed values: letters that scanners read as two, or two as one
+_MERGED = (("cl", "d"), ("tl", "d"), ("rn", "m"), ("ri", "n"), ("vv", "w"), ("ii", "u"), ("nn", "m"))
+
+
+@lru_cache(1 << 16)
+def _shape(word: str) -> str:
+    """The word in letters that scanners confuse as one."""
+    for a, b in _MERGED:
+        word = word.replace(a, b)
+    return word.translate(_CONFUSED)
+
+
 @lru_cache(1 << 16)
 def _same_slot(a: str, b: str) -> bool:
     """Whether b can be a misreading of the value a."""
@@ -186,7 +199,7 @@ def _same_slot(a: str, b: str) -> bool:
     # as many digits, but other ones: another value
     if p != q and len(p) == len(q) or a.isdigit() and b.isdigit():
         return False
-    x, y = a.translate(_CONFUSED), b.translate(_CONFUSED)
+    x, y = _shape(a), _shape(b)
     if x == y:
         return True
     return not a.isdigit() and min(len(x), len(y)) >= 5 and SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.85
@@ -205,16 +218,24 @@ _CUTS = ((1, 2), (2, 1), (2, 2), (1, 3), (3, 2), (2, 3))
 
 def _walk(item: list[str], slots: list[bool], page: list[str], i: int, j: int, d: int) -> tuple[int, int, int, int]:
     """Follow the passage from (i, j) in direction d: (item position behind the
-    last sure word, page position, slots held exactly, slots met)."""
+    last sure word, page position, slots held, slots met)."""
     n, m = len(item), len(page)
     held = met = 0
     sure = (i, j, 0, 0)
     while 0 <= i < n and 0 <= j < m:
         a, b = item[i], page[j]
+        cut = a != b and _cut_exactly(item, page, i, j, d)
+        if cut:
+            di, dj = cut
+            values = sum(slots[i + d * k] for k in range(di))
+            held, met = held + values, met + values
+            i, j = i + d * di, j + d * dj
+            sure = (i, j, held, met)
+            continue
         if a == b or (_same_slot if slots[i] else _same_word)(a, b):
             if slots[i]:
                 met += 1
-                held += a == b
+                held += a == b or _shape(a) == _shape(b)
             i, j = i + d, j + d
             # a short word that is only alike does not end a passage
             if a == b or len(a) > 2:
@@ -231,11 +252,15 @@ def _walk(item: list[str], slots: list[bool], page: list[str], i: int, j: int, d
             value = any(slots[lo : lo + di])
             if x == y or (_same_slot(x, y) if value else len(x) > 3 and _like(x, y) >= LIKE_CUT):
                 met += value
-                held += value and x == y
+                held += value and (x == y or _shape(x) == _shape(y))
                 i, j = i + d * di, j + d * dj
                 sure = (i, j, held, met)
                 break
         else:
+            # a single letter read as another sign
+            if len(a) == 1 and len(b) <= 2 and not a.isdigit() and 0 <= i + d < n and 0 <= j + d < m and item[i + d] == page[j + d]:
+                i, j = i + d, j + d
+                continue
             # a short word that the scanner lost
             if len(a) <= 2 and not slots[i] and 0 <= i + d < n and item[i + d] == b:
                 i += d
@@ -247,6 +272,20 @@ def _walk(item: list[str], slots: list[bool], page: list[str], i: int, j: int, d
     return sure
 
 
+def _cut_exactly(item: list[str], page: list[str], i: int, j: int, d: int) -> tuple[int, int] | None:
+    """(2, 1) or (1, 2) where two words here are one there, letter by letter."""
+    a, b = item[i], page[j]
+    if len(b) > len(a):
+        k = i + d
+        if 0 <= k < len(item) and len(item[k]) + len(a) == len(b) and b == (a + item[k] if d > 0 else item[k] + a):
+            return 2, 1
+    elif len(a) > len(b):
+        k = j + d
+        if 0 <= k < len(page) and len(page[k]) + len(b) == len(a) and a == (b + page[k] if d > 0 else page[k] + b):
+            return 1, 2
+    return None
+
+
 def _behind_insert(item: list[str], page: list[str], i: int, j: int, d: int) -> int | None:
     """Where the passage goes on behind words that are not the item's."""
     n, m = len(item), len(page)
