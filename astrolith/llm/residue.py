@@ -62,6 +62,8 @@ FINE = 18
 #: sources that must repeat every segment of a page (sources count by 64 classes, so that two may count as one); sources and share of pages of that sort that a segment needs
 COMMON, SOURCES, SHARE = 3, 2, 0.2
 MIN_LETTERS = 8
+#: share of the longest line below which a line ends early, on pages of more lines than these
+PARAGRAPH, FEW_LINES = 0.8, 10
 
 # Reason phrases of HTTP, notices that servers and browsers ship with, customary filler.
 SEEDS = """
@@ -104,7 +106,8 @@ FILLER_WORDS, SHORT, LETTERS = 12, 3, 4.5
 PAIRED = 6
 TEXT, MARKED, PAIR, FILLER = range(4)
 
-_SENTENCE = re.compile(r"(?<=[.!?:·])\s+|\s\|\s|\n(?=[A-Z0-9<©])")
+_SENTENCE = re.compile(r"(?<=[.!?:·])\s+|\s\|\s")
+_BEGIN = re.compile(r"[A-Z0-9<©]")
 _NOT_WORD = re.compile(r"(?:[^\w\x1e]|_)+")
 _NUMBER = re.compile(r"\b\d+\b")
 _CONFUSED = str.maketrans({**dict.fromkeys("ceoa0", "o"), **dict.fromkeys("hb6k", "h"), **dict.fromkeys("nuvmw", "n"), **dict.fromkeys("tflijr1!|:", "l"),
@@ -226,7 +229,13 @@ def _once(node: str) -> str:
 
 def segments(text: str, xs=None, ws=None) -> list[tuple[str, bool, int]]:
     """(node, trusted, kind) of every segment of a page."""
-    flat = joined(reading_order(text, xs, ws))
+    lines = reading_order(text, xs, ws)
+    # a line that ends early ends a paragraph, if the next one begins like one; on a page of few lines any does
+    full = PARAGRAPH * max(map(len, lines)) if len(lines) > FEW_LINES else len(text) + 1
+    for i in range(len(lines) - 1):
+        if len(lines[i]) < full and _BEGIN.match(lines[i + 1]):
+            lines[i] += "\x1e"
+    flat = joined(lines)
     out = []
     if any(c in text for c in "{[<%@_$«") or "TK" in text:
         out = [(" ".join(fold(w) for w in m[0].split()), _trusted_mark(m[0]), MARKED) for m in MARK.finditer(flat)]
