@@ -69,7 +69,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p2_scores(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.score(read(spark, d, "src_string_literals"), read(spark, d, "src_files")).where(
+    return secrets.score(read(spark, d, "src_string_literals"), read(spark, d, "src_files"), least=secrets.THRESHOLD).where(
         F.col("score") >= secrets.THRESHOLD
     )
 
@@ -81,10 +81,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The literals of p2_found with the secret taken out of their spelling."""
-    spans = _p2_scores(spark, d).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    text = read(spark, d, "src_string_literals").select("id", "content")
-    redact = F.udf(secrets.redact, "string")
-    return text.join(spans, "id").select("id", redact("content", "spans").alias("content"))
+    return secrets.redacted(read(spark, d, "src_string_literals"), _p2_scores(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -67,3 +67,43 @@ def test_fit_without_any_secret(spark):
     df = spark.createDataFrame([(1, "plain words here", 1, "")], "id long, content string, file_id long, function_usr string")
     files = spark.createDataFrame([], "id long, path string")
     assert [r for r in secrets.score(df, files).collect() if r.score >= 0.5] == []
+
+
+def test_redaction_is_exact():
+    r = secrets.redact_all
+    assert r("password=Tr0ub4dor&3x!9 x", [[9, secrets.reach("password=Tr0ub4dor&3x!9 x", 18)]]) == "password=REDACTED x"
+    assert secrets.reach("password=abcdef1;user=bob", 16) == 16
+    # the same value found twice, and one inside another
+    assert r("a:TOKEN@b", [[2, 7], [2, 7]]) == "a:REDACTED@b"
+    assert r("abcdefghij", [[0, 9], [2, 4]]) == secrets.redact("abcdefghij", [0, 9, 2, 4]) == "REDACTEDj"
+    # each secret has its mark, quotes between them or not
+    text = '{\\"password\\":\\"Abc123xyz\\",\\"token\\":\\"Zx9Zx9\\"}'
+    a, b = text.index("Abc"), text.index("Zx9")
+    assert r(text, [[a, a + 9], [b, b + 6]]) == text.replace("Abc123xyz", "REDACTED").replace("Zx9Zx9", "REDACTED")
+    assert r(None, [[0, 1]]) is None and r("abc", []) == "abc"
+
+
+def test_values_of_any_length(model):
+    got = lambda t: [v for _, _, v, _, _ in secrets.candidates(secrets.decode(t)[0])]
+    assert got("pin=4921")[-1] == "4921" and got("db_pw=aX9$k")[-1] == "aX9$k"
+    # what stands behind character 200 counts
+    a, b = "abcd" * 60, "abcd" * 50 + "Q9$zX7!k" * 5
+    assert model.extract.secret.mean(a) != model.extract.secret.mean("abcd" * 50 + "Q9$zX7!kQ9$zX7!k")
+    assert model.extract.features(a, [], "")[1] != model.extract.features(b, [], "")[1]
+
+
+def test_places_are_fitted():
+    texts = [t for _ in range(40) for t, _ in secret_texts()]
+    rng = random.Random(2)
+    labels = [y for _ in range(40) for _, y in secret_texts()]
+    places = [(float(rng.random() < (0.1 if y else 0.7)), 0.0, float(rng.random() < (0.6 if y else 0.1))) for y in labels]
+    m = secrets.Model(texts, places)
+    assert m.weights[-3] < 0 < m.weights[-1]
+
+
+def test_redacted_frame(spark, model):
+    df = spark.createDataFrame([(1, "user=x password=Tiger#1234&zz! host=y", 8, ""), (2, None, 8, ""), (3, "plain", 8, "")],
+                               "id long, content string, file_id long, function_usr string")
+    files = spark.createDataFrame([(8, "a.cpp")], "id long, path string")
+    found = secrets.score(df, files, model, least=secrets.THRESHOLD).where(f"score >= {secrets.THRESHOLD}")
+    assert [tuple(r) for r in secrets.redacted(df, found).collect()] == [(1, "user=x password=REDACTED host=y")]
