@@ -7,10 +7,11 @@ zstandard dictionary per language and one of code; the shortest encoding wins.
 A margin test rejects spans that no language shortens well or that the code
 dictionary shortens as well as the best language.
 
-The dictionaries start from labelled sentences and are extended once by
-self-training on a bounded sample of the column (``SAMPLE`` texts, the least
-hashes, so that the sample does not depend on partitioning): spans that win
-clearly join the dictionary of their language.  Everything is then classified.
+The dictionaries start from labelled sentences and are extended by
+self-training in ``ROUNDS`` rounds on a bounded sample of the column (``SAMPLE``
+texts of up to ``SAMPLE_LENGTH`` characters, the least hashes, so that the sample
+does not depend on partitioning): spans that win clearly join the dictionary of
+their language.  Everything is then classified.
 
 Defined results: NULL, empty and blank texts give nothing; one language per
 text, that of the span it shortens most; texts of any length are read whole.
@@ -36,9 +37,11 @@ SAMPLE = 20_000
 #: longer texts are left out of the sample (never out of the result)
 SAMPLE_LENGTH = 4_000
 DICTIONARY_BYTES = 48_000
+ROUNDS = 2
 LEVEL = 12
 MIN_WORDS = 4
-MIN_CJK = 6
+#: signs of a Chinese or Japanese clause; from SURE_CJK on a tie with code is accepted
+MIN_CJK = 4
 SURE_CJK = 8
 #: margin test: a span must shrink at least to this share of its length, and
 #: beat code by this share of its length
@@ -86,7 +89,7 @@ def spans(raw: str | None) -> list[str]:
     text = _SQL.sub("\n", _ANSI.sub("\n", unspell(raw)))
     out = []
     for part in _CUT.split(text):
-        if not part or len(part) < 6:
+        if len(part) < MIN_CJK:
             continue
         s = _FORMAT.sub(" ", part).strip(" .,:!?()[]*'`-")
         words = [w for w in s.split() if _WORD.search(w)]
@@ -161,7 +164,7 @@ class Identifier:
         return (best.most_common(1)[0][0], chars) if best else None
 
 
-def fit(df: DataFrame, content: str = "content", sample: int = SAMPLE, rounds: int = 2) -> dict[str, list[str]]:
+def fit(df: DataFrame, content: str = "content", sample: int = SAMPLE, rounds: int = ROUNDS) -> dict[str, list[str]]:
     """Spans of a bounded sample that win clearly, by language (and code)."""
     rows = (
         df.select(F.col(content).alias("c")).where(F.length(F.trim("c")).between(9, SAMPLE_LENGTH))
@@ -170,7 +173,18 @@ def fit(df: DataFrame, content: str = "content", sample: int = SAMPLE, rounds: i
     return self_train([r["c"] for r in rows], rounds)
 
 
-def self_train(texts: list[str], rounds: int = 2) -> dict[str, list[str]]:
+def _tail(spans: list[str]) -> list[str]:
+    """As many of the last spans as a dictionary holds."""
+    size, out = 0, []
+    for s in reversed(spans):
+        size += len(s.encode()) + 1
+        if size > DICTIONARY_BYTES:
+            break
+        out.append(s)
+    return out[::-1]
+
+
+def self_train(texts: list[str], rounds: int = ROUNDS) -> dict[str, list[str]]:
     found = sorted({s for t in texts for s in spans(t)})
     more: dict[str, list[str]] = {}
     for _ in range(rounds):
@@ -185,41 +199,43 @@ def self_train(texts: list[str], rounds: int = 2) -> dict[str, list[str]]:
                 won[min(costs, key=costs.get)].append(s.lower())
             elif code < 0.9 * size and code <= order[0] - 2:
                 won["code"].append(s.lower())
-        more = dict(won)
+        more = {lang: _tail(won_spans) for lang, won_spans in won.items()}
     return more
 
 
 def identify(df: DataFrame, keep: tuple[str, ...] = ("id",), content: str = "content", more=None) -> DataFrame:
     """The kept columns with lang and n_natural for every text holding a sentence."""
+    return measure(df, keep, content, more).where(F.col("lang").isNotNull()).drop("n_chars")
+
+
+def measure(df: DataFrame, keep: tuple[str, ...] = ("id",), content: str = "content", more=None) -> DataFrame:
+    """The kept columns of every text that is not blank, with lang (NULL without a sentence),
+    n_natural (its characters of natural language) and n_chars (all its characters), both
+    counted in what the spelling stands for."""
     workers_can_import(df.sparkSession)
     if more is None:
         more = fit(df, content)
     state: dict = {}
 
-    names = [*keep, "lang", "n_natural"]
+    names = [*keep, "lang", "n_natural", "n_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "me" not in state:
             state["me"] = Identifier(more)
         me, seen = state["me"], {}
         for b in batches:
-            rows, langs, chars = [], [], []
-            for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                got = seen.get(t, 0)
-                if got == 0:
-                    got = me.text(t)
-                    if len(seen) < 100_000 and t is not None and len(t) < 500:
+            out = []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                got = seen.get(t)
+                if got is None:
+                    got = (*(me.text(t) or (None, 0)), len(unspell(t)))
+                    if len(seen) < 100_000 and len(t) < 500:
                         seen[t] = got
-                if got:
-                    rows.append(i)
-                    langs.append(got[0])
-                    chars.append(got[1])
-            pick = pa.array(rows, pa.int64())
+                out.append(got)
+            langs, natural, chars = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(i).take(pick) for i in range(b.num_columns - 1)], pa.array(langs, pa.string()), pa.array(chars, pa.int64())],
-                names=names,
-            )
+                [*b.columns[:-1], pa.array(langs, pa.string()), pa.array(natural, pa.int64()), pa.array(chars, pa.int64())], names=names)
 
     plain = df.select(*keep, F.col(content).alias("__text")).where(F.length(F.trim("__text")) > 0)
-    schema = df.select(*keep).withColumn("lang", F.lit("")).withColumn("n_natural", F.lit(0).cast("long")).schema
+    schema = df.select(*keep).withColumn("lang", F.lit(None).cast("string")).withColumn("n_natural", F.lit(0).cast("long")).withColumn("n_chars", F.lit(0).cast("long")).schema
     return plain.mapInArrow(run, schema)

@@ -93,12 +93,12 @@ def p4_file_share(spark: SparkSession, d: str) -> DataFrame:
     """Per file: share of natural-language characters in all literal characters."""
     t = read(spark, d, "src_string_literals")
     # two partial sums a file and task: a file that holds most rows stays cheap
-    natural = langid.identify(t, keep=("file_id",)).groupBy("file_id").agg(F.sum("n_natural").alias("n_natural"))
-    total = t.groupBy("file_id").agg(F.sum(F.coalesce(F.length("content"), F.lit(0))).alias("n_chars"))
-    return total.join(natural, total["file_id"].eqNullSafe(natural["file_id"]), "left").select(
-        total["file_id"], "n_chars", F.coalesce("n_natural", F.lit(0)).alias("n_natural"),
-        F.when(F.col("n_chars") > 0, F.coalesce("n_natural", F.lit(0)) / F.col("n_chars")).otherwise(0.0).alias("share"),
-    )
+    found = langid.measure(t, keep=("file_id",))
+    # files of blank literals only have no text to share
+    blank = t.where(~F.coalesce(F.length(F.trim("content")) > 0, F.lit(False))).select("file_id", F.lit(0).cast("long").alias("n_natural"), F.lit(0).cast("long").alias("n_chars"))
+    return found.select("file_id", "n_natural", "n_chars").unionByName(blank).groupBy("file_id").agg(
+        F.sum("n_chars").alias("n_chars"), F.sum("n_natural").alias("n_natural")
+    ).select("file_id", "n_chars", "n_natural", F.when(F.col("n_chars") > 0, F.col("n_natural") / F.col("n_chars")).otherwise(0.0).alias("share"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

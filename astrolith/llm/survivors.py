@@ -12,7 +12,9 @@ policy order, that has it.
 
 With presence kept per field (not as a count) the fill is exact: the
 best-ranked row that has a field is never dominated, because a dominating row
-would have the field too and rank before it.
+would have the field too and rank before it.  So a field's value does not
+depend on which other fields are compared, and ``records`` takes any number of
+fields in blocks of ``MAX_FIELDS``, each with a skyline of its own.
 
 Defined results: missing keys (NULL, '') form no group; groups of one row give
 nothing, except in ``records``, which gives one row for every key; NULL trust counts as untrusted; NULL recency is oldest; a field that
@@ -26,19 +28,24 @@ from pyspark.sql import functions as F
 
 from astrolith.runtime import present
 
+#: fields of one skyline; ``records`` takes more in blocks
 MAX_FIELDS = 6
 
 
-def skyline(df: DataFrame, key: str, trust: Column, recency: list[str], fields: list[str], carry: list[str] = ()) -> DataFrame:
-    """One row per group of two or more: the key, ``n_rows`` and ``reps``.
+def skyline(
+    df: DataFrame, key: str, trust: Column, recency: list[str], fields: list[str], carry: list[str] = (), whole: list[str] = (), least_rows: int = 2
+) -> DataFrame:
+    """One row per group of ``least_rows`` or more: the key, ``n_rows`` and ``reps``.
 
     ``reps`` holds the latest row per combination of trust and present fields,
     in policy order, as structs (trust, at, mask, vals, layer); ``at`` ends in the
-    row number, which is the last column of ``recency``.
+    row number, which is the last column of ``recency``.  Fields in ``whole`` are
+    missing only where NULL.
     """
     if not 0 < len(fields) <= MAX_FIELDS:
-        raise ValueError(f"between 1 and {MAX_FIELDS} fields")
-    mask = sum((F.when(present(f), F.lit(1 << i)).otherwise(0) for i, f in enumerate(fields)), F.lit(0))
+        raise ValueError(f"between 1 and {MAX_FIELDS} fields; records() takes more")
+    has = lambda f: F.col(f).isNotNull() if f in whole else present(f)
+    mask = sum((F.when(has(f), F.lit(1 << i)).otherwise(0) for i, f in enumerate(fields)), F.lit(0))
     vals = F.struct(*[F.col(f).alias(f"v{i}") for i, f in enumerate(fields)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     rows = df.where(present(key)).select(
         F.col(key).alias("k"), F.coalesce(trust.cast("int"), F.lit(0)).alias("trust"), mask.alias("mask"),
@@ -51,7 +58,7 @@ def skyline(df: DataFrame, key: str, trust: Column, recency: list[str], fields:
     groups = best.groupBy("k").agg(
         F.sum("n").alias("n_rows"),
         F.sort_array(F.collect_list(F.struct("trust", "at", "mask", "vals")), asc=False).alias("sorted"),
-    ).where(F.col("n_rows") >= 2)
+    ).where(F.col("n_rows") >= least_rows)
     # in policy order every dominating row stands before the row it dominates
     with_layer = F.expr("""
         aggregate(sorted, cast(array() as array<struct<trust:int,at:struct<%s>,mask:int,vals:struct<%s>,layer:int>>),
@@ -90,16 +97,18 @@ def survivors(sky: DataFrame, fields: list[str]) -> DataFrame:
     return sky.select("k", "n_rows", *[_filled(i)["vals"][f"v{i}"].alias(f) for i, f in enumerate(fields)])
 
 
-def records(df: DataFrame, key: str, trust: Column, recency: list[str], whole: list[str] = ()) -> DataFrame:
+def records(df: DataFrame, key: str, trust: Column, recency: list[str], whole: list[str] = (), least_rows: int = 1) -> DataFrame:
     """One built record per key, groups of one row included: the key, ``n_rows``
-    and every other column from the best-ranked row that has it.
+    and every other column, filled by a skyline for each block of MAX_FIELDS.
 
     Columns in ``whole`` (flags, counters, times) lack a value only where they
     are NULL; in all others '' and 0 are missing too and come out as NULL.
     """
-    rank = F.struct(F.coalesce(trust.cast("int"), F.lit(0)).alias("trust"), *recency)
-    has = lambda c: F.col(c).isNotNull() if c in whole else present(c)
-    return df.where(present(key)).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.max_by(c, F.when(has(c), rank)).alias(c) for c in df.columns if c != key],
-    )
+    fields = [c for c in df.columns if c != key]
+    out = None
+    for i in range(0, len(fields), MAX_FIELDS):
+        block = fields[i : i + MAX_FIELDS]
+        part = survivors(skyline(df, key, trust, recency, block, whole=whole, least_rows=least_rows), block)
+        # the blocks are partitioned by the key already
+        out = part if out is None else out.join(part.drop("n_rows"), "k")
+    return out.withColumnRenamed("k", key)

@@ -75,3 +75,25 @@ def test_class_records_have_every_usr_and_column(spark, tmp_path):
         "u": (2, 7, "A", "n::A", "class", 5, 3, 4, 1, 0, 1, 0, 1, 10),
         "one": (1, 8, "C", None, None, 6, None, None, 0, 0, 0, 0, 3, 30),
     }
+
+
+def test_any_number_of_fields(spark):
+    """Nine fields in two blocks, against the best-ranked row that has each."""
+    import random
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from astrolith.llm import survivors
+
+    rng = random.Random(4)
+    rows = [(f"u{rng.randrange(12)}", rng.randrange(2), datetime(2025, 1, 1) + timedelta(days=rng.randrange(5)), i,
+             *[rng.choice([None, "", f"v{i}"]) for _ in range(7)]) for i in range(150)]
+    names = [f"f{i}" for i in range(7)]
+    df = spark.createDataFrame(rows, "usr string, d int, at timestamp, seq long, " + ", ".join(f"{n} string" for n in names))
+    got = {r.usr: r for r in survivors.records(df, "usr", F.col("d") == 1, ["at", "seq"], ["d", "at", "seq"]).collect()}
+    for u in {r[0] for r in rows}:
+        group = sorted((r for r in rows if r[0] == u), key=lambda r: (r[1], r[2], r[3]), reverse=True)
+        assert got[u].n_rows == len(group)
+        for k, n in enumerate(names):
+            assert got[u][n] == next((r[4 + k] for r in group if r[4 + k]), None)

@@ -54,3 +54,15 @@ def test_column(spark):
     df = spark.createDataFrame(rows, "id long, content string")
     assert {(r.id, r.lang) for r in langid.identify(df).collect()} >= {(1, "fr"), (5, "fr")}
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_short_clauses_of_chinese_give_spans():
+    assert langid.spans("文件未找到") == ["文件未找到"] and langid.spans("保存失败") == ["保存失败"]
+
+
+def test_share_counts_both_sides_in_what_the_spelling_stands_for(spark):
+    plain = "Vous devez attendre la fin de la copie"
+    escaped = "".join(f"\\x{b:02x}" for b in plain.encode())
+    df = spark.createDataFrame([(1, plain, 7), (2, escaped, 8), (3, None, 9), (4, "", 9)], "id long, content string, file_id long")
+    got = {r.file_id: (r.lang, r.n_natural, r.n_chars) for r in langid.measure(df, keep=("file_id",), more={}).collect()}
+    assert got[7] == got[8] == ("fr", len(plain), len(plain)) and 9 not in got
