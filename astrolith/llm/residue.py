@@ -323,16 +323,17 @@ def _hits(open_nodes: DataFrame, front_keys: DataFrame) -> DataFrame:
     grouped = spread_out.groupBy("t", "band", F.shiftright("k", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("k").bitwiseAND(F.lit(32767))).alias("m"))
     for r in grouped.collect():
         maps[r["t"], r["band"], r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
+    flat, bit = maps.reshape(len(_TABLES), -1), (1 << np.arange(8)).astype(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sim = b.column(1).to_numpy().view(np.uint64)
-            band = _band(b.column(3).to_numpy())
+            base = _band(b.column(3).to_numpy()) * maps.shape[2]
             block = [(sim >> np.uint64(i * _WIDTH) & np.uint64((1 << _WIDTH) - 1)).astype(np.int32) for i in range(BLOCKS)]
             rows, ts, ks = [], [], []
             for t, (x, y) in enumerate(_TABLES):
                 k = (block[x] << _WIDTH) + block[y]
-                hit = np.flatnonzero(maps[t][band, k >> 3] >> (k & 7).astype(np.uint8) & 1)
+                hit = np.flatnonzero(np.take(flat[t], base + (k >> 3)) & bit[k & 7])
                 rows.append(hit)
                 ts.append(np.full(len(hit), t, dtype=np.int32))
                 ks.append(k[hit])
@@ -387,7 +388,8 @@ def spread(rows: DataFrame, nodes: DataFrame, trusted: DataFrame, scratch: Scrat
             front.select(F.col("h").alias("h2"), F.col("sim").alias("sim2"), F.col("fine").alias("fine2"), F.col("n").alias("n2"), "lead",
                          _apart("sim", "lead").alias("r"), F.explode(_table_keys("sim")).alias("x"))
             .select("h2", "sim2", "fine2", "n2", "lead", "r", "x.t", "x.k"), "keys")
-        hits = _hits(nodes.join(known.select("h", "sim"), ["h", "sim"], "left_anti"), keys)
+        # what is known already is left out behind the filter, where few rows are left
+        hits = _hits(nodes, keys).join(known.select("h", "sim"), ["h", "sim"], "left_anti")
         families = keys.groupBy("t", "k", "lead").agg(F.max("r").alias("r"))
         near = hits.join(families, ["t", "k"]).where(_apart("sim", "lead") <= F.lit(HAMMING) + F.col("r")).drop("r")
         # texts of this likeness have lengths within the same bound
