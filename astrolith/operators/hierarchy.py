@@ -177,9 +177,14 @@ class Forest:
     def distances(self) -> DataFrame:
         """(node_key, root_key, depth): fewest links from each node to each root
         it reaches, and one row ('', -1) for each node on a loop or with an
-        ancestor on one."""
+        ancestor on one.
+
+        Nodes with one chain of ancestors have the root of their tree and the
+        number of nested-set ranges around them as depth (``range_depths``)."""
         put, drop = self.scratch.put, self.scratch.drop
-        plain = self.up.where(F.col("ptr").isNull() & ~F.col("mixed")).select("id", "root", "depth")
+        single = self.up.where(F.col("ptr").isNull() & ~F.col("mixed")).select("id", "root")
+        key = self.nodes.select("id", F.col("key").alias("node_key"))
+        plain = put(single.join(key, "id").join(range_depths(self.nested()), "node_key").select("id", "root", "depth"), "plain")
         part = self.up.where(F.col("ptr").isNotNull() | F.col("mixed")).select("id")
         part = put(part, "part")
         inside = self.links.join(part.withColumnRenamed("id", "child"), "child", "left_semi")
@@ -216,7 +221,6 @@ class Forest:
         coded = plain.select("id", "root", "depth").unionByName(
             ends.select(F.col("v").alias("id"), F.col("r").alias("root"), F.col("d").alias("depth"))
         )
-        key = self.nodes.select("id", F.col("key").alias("node_key"))
         root = self.nodes.select(F.col("id").alias("root"), F.col("key").alias("root_key"))
         reached = coded.join(key, "id").join(root, "root").select("node_key", "root_key", "depth")
         looped = (
@@ -328,6 +332,27 @@ class Forest:
         return above.unionByName(named(pairs, "u")).unionByName(outside)
 
 
+def range_depths(nested: DataFrame) -> DataFrame:
+    """(node_key, depth) of every node of the forest from its nested-set ranges alone.
+
+    A sweep over the positions of each tree: a range opens at ``pre`` and closes
+    at ``pre + size``, and the ranges open at a node's position, its own left
+    out, are its ancestors.  Sums run within bins of BIN positions, and over the
+    bins of a tree, so no task sweeps a whole tree.
+    """
+    held = nested.where(F.col("on_loop") == 0).select("root_key", "node_key", "pre", "size")
+    marks = held.select("root_key", "node_key", F.col("pre").alias("at"), F.lit(1).alias("d")).unionByName(
+        held.select("root_key", F.lit(None).cast("string").alias("node_key"), (F.col("pre") + F.col("size")).alias("at"), F.lit(-1).alias("d"))
+    ).withColumn("bin", F.floor(F.col("at") / BIN))
+    totals = marks.groupBy("root_key", "bin").agg(F.sum("d").alias("total"))
+    before = Window.partitionBy("root_key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("root_key", "bin", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("open"))
+    # at one position ranges close before the next one opens
+    inside = Window.partitionBy("root_key", "bin").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0)
+    swept = marks.withColumn("here", F.sum("d").over(inside)).where(F.col("d") == 1)
+    return swept.join(starts, ["root_key", "bin"]).select("node_key", (F.col("open") + F.col("here") - 1).alias("depth"))
+
+
 def descendants(nested: DataFrame, queries: DataFrame) -> DataFrame:
     """(ancestor_key, node_key, distance) of all nodes below each queried node
     in the spanning forest; ``Forest.descendants`` follows all links.

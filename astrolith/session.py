@@ -254,29 +254,82 @@ class FactSession:
         return out
 
 
+_AGGREGATES = {"count", "sum", "min", "max", "avg", "total", "group_concat", "any_value", "min_by", "max_by", "collect_list", "first"}
+
+
 def _wrap_bare_column(sql: str, why: dict[str, str]) -> str:
     """Wrap the column that the analyser names: any row's value, except that a
-    lone min() or max() decides the row."""
-    name = why.get("expression", "").strip('"').split(".")[-1].strip("`")
-    if not name:  # no GROUP BY at all: the first plain column of the list
-        items = re.search(r"(?is)\bselect\b(.*?)\bfrom\b", sql)
-        plain = [m for m in (re.fullmatch(r"(?:\w+\.)?`?(\w+)`?(?:\s+(?:as\s+)?\w+)?", x.strip(), re.I) for x in items[1].split(",")) if m] if items else []
-        if not plain:
-            raise ValueError("a column is neither grouped nor aggregated")
-        name = plain[0][1]
-    lone = re.findall(r"(?i)\b(min|max)\s*\(\s*([\w.]+)\s*\)", sql)
-    column = rf"(?<![\w.(])((?:\w+\.)?`?{re.escape(name)}`?)(?![\w(])"
-    head = re.search(r"(?is)\bselect\b(.*?)\bfrom\b", sql)
-    if not head:
-        raise ValueError("a column is neither grouped nor aggregated")
-
-    def wrap(m: re.Match) -> str:
-        call = f"{lone[0][0].lower()}_by({m[1]}, {lone[0][1]})" if len(lone) == 1 else f"any_value({m[1]})"
-        after = head[1][m.end() :]
-        return call if re.match(r"(?i)\s+as\b|\s+\w", after) and not re.match(r"\s*[-+*/,]", after) else f"{call} AS `{name}`"
-
-    a, b = head.span(1)
-    changed = re.sub(column, wrap, head[1], count=1)
-    if changed == head[1]:
-        raise ValueError(f"column {name} is neither grouped nor aggregated")
-    return sql[:a] + changed + sql[b:]
+    lone min() or max() of the same select list decides the row."""
+    name = why.get("expression", "").strip('"').split(".")[-1].strip("`").lower()
+    ts = dialect.tokens(sql)
+    for start, end in _select_lists(ts):
+        items = _items(ts, start, end)
+        calls = [c for a, b in items for c in _calls(ts, a, b)]
+        if not any(f in _AGGREGATES for f, _ in calls):
+            continue
+        lone = [(f, x) for f, x in calls if f in ("min", "max")]
+        for a, b in items:
+            at = _bare(ts, a, b, name)
+            if at is None:
+                continue
+            first, last = at
+            column = "".join(v for _, v in ts[first : last + 1])
+            call = f"{lone[0][0]}_by({column}, {lone[0][1]})" if len(lone) == 1 else f"any_value({column})"
+            alone = all(k == "space" for k, _ in [*ts[a:first], *ts[last + 1 : b]])
+            label = f" AS `{ts[last][1].strip('`')}`" if alone else ""
+            return "".join(v for _, v in [*ts[:first], ("expr", call + label), *ts[last + 1 :]])
+    raise ValueError(f"column {name or 'list'} is neither grouped nor aggregated")
+
+
+def _select_lists(ts):
+    """(first, end) token positions of every select list, outer ones first."""
+    out = []
+    for i, (k, v) in enumerate(ts):
+        if k == "word" and v.upper() == "SELECT":
+            depth, j = 0, i + 1
+            while j < len(ts) and not (depth == 0 and (ts[j][1] == ")" or ts[j][0] == "word" and ts[j][1].upper() == "FROM")):
+                depth += (ts[j][1] == "(") - (ts[j][1] == ")")
+                j += 1
+            out.append((i + 1, j))
+    return out
+
+
+def _items(ts, start, end):
+    out, depth, a = [], 0, start
+    for i in range(start, end):
+        depth += (ts[i][1] == "(") - (ts[i][1] == ")")
+        if ts[i][1] == "," and depth == 0:
+            out.append((a, i))
+            a = i + 1
+    return [*out, (a, end)]
+
+
+def _calls(ts, a, b):
+    """(function, argument text) of the calls that stand outermost in an item."""
+    out, i = [], a
+    while i < b:
+        if ts[i][0] == "word" and i + 1 < b and ts[i + 1][1] == "(":
+            end = dialect._close(ts, i + 1)
+            out.append((ts[i][1].lower(), "".join(v for _, v in ts[i + 2 : end]).strip()))
+            i = end
+        i += 1
+    return out
+
+
+def _bare(ts, a, b, name):
+    """Token range of a column outside of calls, of that name or, without a name, any."""
+    depth = 0
+    for i in range(a, b):
+        k, v = ts[i]
+        depth += (v == "(") - (v == ")")
+        if depth or k not in ("word", "quoted") or v.upper() in ("AS", "DISTINCT", "CASE", "WHEN", "THEN", "ELSE", "END", "AND", "OR", "NOT", "NULL", "IS"):
+            continue
+        before = next((ts[j] for j in range(i - 1, a - 1, -1) if ts[j][0] != "space"), ("", ""))
+        after = next((ts[j][1] for j in range(i + 1, b) if ts[j][0] != "space"), "")
+        if before[1].upper() == "AS" or after in (".", "(") or before[0] in ("word", "quoted", "number", "string", "expr") and before[1].upper() not in (
+                "DISTINCT", "CASE", "WHEN", "THEN", "ELSE", "AND", "OR", "NOT"):
+            continue
+        if not name or v.strip("`").lower() == name:
+            first = i - 2 if before[1] == "." else i
+            return first, i
+    return None
