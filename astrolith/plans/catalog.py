@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from astrolith.plans import corpus, problems, relational
+from astrolith.plans import corpus, problems, relational, units
 
-QUERIES = {**relational.QUERIES, **corpus.QUERIES, **problems.QUERIES}
-SQL = {**relational.SQL, **corpus.SQL, **problems.SQL}
+QUERIES = {**relational.QUERIES, **corpus.QUERIES, **units.QUERIES, **problems.QUERIES}
+SQL = {**relational.SQL, **corpus.SQL, **units.SQL, **problems.SQL}
 
 caller_callee_top = corpus.caller_callee_top

@@ -14,7 +14,8 @@ from astrolith.runtime import read
 
 _TABLES = ("files", "functions", "classes", "methods", "inheritance", "calls", "string_literals", "namespaces")
 
-#: name -> (statement in the source dialect, the same for the SQL check or None)
+#: Statements as published, where the questions are; name -> (statement in the
+#: source dialect, the same for the SQL check or None)
 STATEMENTS: dict[str, tuple[str, str | None]] = {
     "q_user_functions": ("SELECT name, return_type FROM src_functions WHERE is_system = 0;", None),
     "q_definitions": ("SELECT name FROM src_functions WHERE is_definition = 1 AND is_system = 0", None),
@@ -87,6 +88,25 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "SELECT c.name AS class_name, m.name, m.line, m.end_line FROM src_classes c JOIN src_methods m ON m.class_id = c.id WHERE m.is_virtual <> 0 AND c.kind = 'class'"),
     "q_half_lines": ("SELECT seq, end_line / 2 AS half FROM src_functions WHERE is_inline OR is_static",
                      "SELECT seq, end_line // 2 AS half FROM src_functions WHERE is_inline <> 0 OR is_static <> 0"),
+    "q_half_span": ("SELECT seq, (end_line - line) / 2 AS half FROM src_functions", "SELECT seq, (end_line - line) // 2 AS half FROM src_functions"),
+    "q_quarter_lines": ("SELECT seq, end_line / 2 / 2 AS quarter, line * 3 / 2 AS more FROM src_functions",
+                        "SELECT seq, end_line // 2 // 2 AS quarter, line * 3 // 2 AS more FROM src_functions"),
+    "q_half_count": ("SELECT kind, COUNT(*) / 2 AS half FROM src_classes GROUP BY kind", "SELECT kind, COUNT(*) // 2 AS half FROM src_classes GROUP BY kind"),
+    "q_not_a_class": ("SELECT seq FROM src_classes WHERE kind IS NOT 'class'", "SELECT seq FROM src_classes WHERE kind IS DISTINCT FROM 'class'"),
+    "q_nocase": ("SELECT seq FROM src_functions WHERE name = 'PUSH_ENTRY' COLLATE NOCASE", "SELECT seq FROM src_functions WHERE lower(name) = 'push_entry'"),
+    "q_prefix_cast": (
+        "SELECT seq, CAST(name AS INTEGER) AS n, CAST(usr AS INTEGER) AS m FROM src_functions",
+        "SELECT seq, CASE WHEN name IS NOT NULL THEN COALESCE(TRY_CAST(regexp_extract(name, '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0) END AS n, "
+        "CASE WHEN usr IS NOT NULL THEN COALESCE(TRY_CAST(regexp_extract(usr, '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0) END AS m FROM src_functions"),
+    "q_glob_function": ("SELECT seq FROM src_functions WHERE glob('p*', name)", "SELECT seq FROM src_functions WHERE name LIKE 'p%'"),
+    "q_text_before": ("SELECT seq, substr(name, 5, -2) AS part FROM src_functions", "SELECT seq, substr(name, 3, 2) AS part FROM src_functions"),
+    "q_json_text": ("""SELECT seq, ('{"k": ' || line || '}') ->> '$.k' AS k FROM src_functions""", "SELECT seq, CAST(line AS VARCHAR) AS k FROM src_functions"),
+    "q_literal_with_from": (
+        "SELECT 'taken from b' AS k, c.kind, COUNT(*) AS n FROM src_classes c GROUP BY c.kind || ''",
+        "SELECT 'taken from b' AS k, ANY_VALUE(c.kind) AS kind, COUNT(*) AS n FROM src_classes c GROUP BY c.kind || ''"),
+    "q_call_reach_three": (
+        "WITH RECURSIVE r AS (SELECT callee_usr AS usr, 1 AS depth FROM src_calls WHERE callee_usr <> '' AND caller_usr = (SELECT MIN(caller_usr) FROM src_calls WHERE caller_usr <> '') "
+        "UNION SELECT c.callee_usr, r.depth + 1 FROM r JOIN src_calls c ON c.caller_usr = r.usr WHERE r.depth < 3 AND c.callee_usr <> '') SELECT usr, MIN(depth) AS min_depth FROM r GROUP BY usr", None),
     "q_namespace_depth": (
         "WITH RECURSIVE t AS (SELECT id, 0 AS depth FROM src_namespaces WHERE parent_id = 0 UNION SELECT n.id, t.depth + 1 FROM src_namespaces n JOIN t ON n.parent_id = t.id) SELECT id, depth FROM t",
         "WITH RECURSIVE t AS (SELECT id, 0 AS depth FROM src_namespaces WHERE parent_id = 0 UNION SELECT n.id, t.depth + 1 FROM src_namespaces n JOIN t ON n.parent_id = t.id) SELECT id, depth FROM t"),

@@ -342,19 +342,23 @@ def recursive_hierarchy(spark, d):
     return graph.reachable(edges, [1]).select(F.col("node").alias("k"), "depth")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_quantity > 49),
-r AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT caller_usr AS src, callee_usr AS dst FROM src_calls WHERE caller_usr <> '' AND callee_usr <> ''),
+r AS (SELECT DISTINCT src AS node, CAST(0 AS BIGINT) AS depth FROM e WHERE src NOT IN (SELECT dst FROM e)
+ UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3)
 SELECT node, MIN(depth) AS depth FROM r GROUP BY node""")
 def recursive_callgraph(spark, d):
-    edges = _t(spark, d, "lineitem").where(F.col("l_quantity") > 49).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst"))
-    return graph.reachable(edges, [1], max_depth=3)
+    """What the callers that nothing calls reach in up to three steps, over all calls."""
+    edges = _t(spark, d, "src_calls").where((F.col("caller_usr") != "") & (F.col("callee_usr") != "")).select(F.col("caller_usr").alias("src"), F.col("callee_usr").alias("dst"))
+    top = edges.select("src").join(edges.select(F.col("dst").alias("src")), "src", "left_anti").distinct()
+    return graph.reachable(edges, top, max_depth=3)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_quantity > 49),
-r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT base_usr AS src, derived_usr AS dst FROM src_inheritance WHERE derived_usr <> '' AND base_usr <> ''),
+r AS (SELECT DISTINCT src AS node FROM e UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r""")
 def bfs_set_semantics(spark, d):
-    edges = _t(spark, d, "lineitem").where(F.col("l_quantity") > 49).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst"))
-    return graph.reachable(edges, [1]).select("node")
+    """All nodes at or below a base, loops included, each once."""
+    links = _t(spark, d, "src_inheritance").where((F.col("derived_usr") != "") & (F.col("base_usr") != ""))
+    return graph.reachable(links.select(F.col("base_usr").alias("src"), F.col("derived_usr").alias("dst")), links.select("base_usr")).select("node")
 
 
 # -- project merge ------------------------------------------------------------

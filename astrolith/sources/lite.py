@@ -97,9 +97,11 @@ def _resolve(name: str, folder: str, args: list[str]) -> str | None:
     return None
 
 
-def _lines(path: str) -> str:
-    with open(path, encoding="utf-8", errors="replace") as f:
-        text = _without_comments(f.read().replace("\r\n", "\n"))
+def _lines(path: str, text: str | None = None) -> str:
+    if text is None:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            text = f.read()
+    text = _without_comments(text.replace("\r\n", "\n"))
     # blocks under #if 0 are no code; continued directives are one line
     text = re.sub(r"^[ \t]*#[ \t]*if[ \t]+0\b.*?^[ \t]*#[ \t]*endif[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S | re.M)
     return re.sub(r"^[ \t]*#(?![ \t]*include)(?:[^\n\\]|\\.|\\\n)*", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.M)
@@ -120,10 +122,10 @@ def inclusions(path: str, args: list[str]) -> list[str]:
     return seen
 
 
-def _tokens(path: str, args: list[str], done: set[str]) -> list[Token]:
+def _tokens(path: str, args: list[str], done: set[str], text: str | None = None) -> list[Token]:
     done.add(path)
     out: list[Token] = []
-    for n, line in enumerate(_lines(path).split("\n"), 1):
+    for n, line in enumerate(_lines(path, text).split("\n"), 1):
         m = _INCLUDE.match(line)
         if m:
             q = _resolve(m[1], os.path.dirname(path), args)
@@ -136,11 +138,11 @@ def _tokens(path: str, args: list[str], done: set[str]) -> list[Token]:
     return out
 
 
-def extract(path: str, args: list[str] = ()) -> list[tuple[str, dict]]:
-    """(table, row) of one translation unit, in visit order."""
+def extract(path: str, args: list[str] = (), text: str | None = None) -> list[tuple[str, dict]]:
+    """(table, row) of one translation unit, in visit order; ``text`` stands for the file's contents."""
     unit = Unit(path, list(args))
     unit.file_id(path)
-    tokens = _tokens(path, unit.args, set())
+    tokens = _tokens(path, unit.args, set(), text)
     for t in tokens:
         unit.file_id(t.file)
     for p, i in unit.files.items():
