@@ -308,8 +308,24 @@ def _band(n):
     return np.minimum(np.log(np.maximum(n, 1)) / np.log(_STEP), _BANDS - 1).astype(np.int64)
 
 
-def _hits(open_nodes: DataFrame, front_keys: DataFrame) -> DataFrame:
-    """(h, sim, fine, n, t, k): the keys of open nodes that a front node of fitting length has too.
+_PACKED = (("h", np.int64), ("sim", np.int64), ("fine", np.int64), ("n", np.int32))
+
+
+def _packed(nodes: DataFrame) -> DataFrame:
+    """The nodes' numbers as byte strings of one Arrow batch each, so that the rounds
+    look all of them up without a row of the engine for each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c.to_numpy(zero_copy_only=False).astype(kind).tobytes()], pa.binary()) for c, (_, kind) in zip(b.columns, _PACKED)],
+                names=[n for n, _ in _PACKED])
+
+    names = [n for n, _ in _PACKED]
+    return nodes.select(*names).mapInArrow(run, ", ".join(f"{n} binary" for n in names))
+
+
+def _hits(packed: DataFrame, front_keys: DataFrame) -> DataFrame:
+    """(h, sim, fine, n, t, k): the keys of the packed nodes that a front node of fitting length has too.
 
     The front's keys become one bit map a table and band of lengths: 28 x 24 maps of 65,536 bits,
     5.5 MB whatever the data, which every task looks up for all tables at once.
@@ -326,9 +342,10 @@ def _hits(open_nodes: DataFrame, front_keys: DataFrame) -> DataFrame:
     flat, bit = maps.reshape(len(_TABLES), -1), (1 << np.arange(8)).astype(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sim = b.column(1).to_numpy().view(np.uint64)
-            base = _band(b.column(3).to_numpy()) * maps.shape[2]
+        for whole in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))):
+            columns = [np.frombuffer(x, dtype=kind) for x, (_, kind) in zip(whole, _PACKED)]
+            sim = columns[1].view(np.uint64)
+            base = _band(columns[3]) * maps.shape[2]
             block = [(sim >> np.uint64(i * _WIDTH) & np.uint64((1 << _WIDTH) - 1)).astype(np.int32) for i in range(BLOCKS)]
             rows, ts, ks = [], [], []
             for t, (x, y) in enumerate(_TABLES):
@@ -337,11 +354,11 @@ def _hits(open_nodes: DataFrame, front_keys: DataFrame) -> DataFrame:
                 rows.append(hit)
                 ts.append(np.full(len(hit), t, dtype=np.int32))
                 ks.append(k[hit])
-            pick = pa.array(np.concatenate(rows))
+            pick = np.concatenate(rows)
             yield pa.RecordBatch.from_arrays(
-                [*[c.take(pick) for c in b.columns], pa.array(np.concatenate(ts)), pa.array(np.concatenate(ks))], names=["h", "sim", "fine", "n", "t", "k"])
+                [*[pa.array(c[pick]) for c in columns], pa.array(np.concatenate(ts)), pa.array(np.concatenate(ks))], names=["h", "sim", "fine", "n", "t", "k"])
 
-    return open_nodes.select("h", "sim", "fine", "n").mapInArrow(run, "h long, sim long, fine long, n int, t int, k int")
+    return packed.mapInArrow(run, "h long, sim long, fine long, n int, t int, k int")
 
 
 def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -379,6 +396,7 @@ def spread(rows: DataFrame, nodes: DataFrame, trusted: DataFrame, scratch: Scrat
     put, drop = scratch.put, scratch.drop
     start = nodes.join(trusted, ["h", "sim"], "left_semi")
     known = put(start.select("h", "sim", "fine", "n", F.col("sim").alias("lead"), "n_pages", F.lit(0).alias("turn"), F.lit(False).alias("off")), "known")
+    packed = put(_packed(nodes), "packed")
     turn = 0
     while True:
         front = known.where((F.col("turn") == turn) & ~F.col("off"))
@@ -389,7 +407,7 @@ def spread(rows: DataFrame, nodes: DataFrame, trusted: DataFrame, scratch: Scrat
                          _apart("sim", "lead").alias("r"), F.explode(_table_keys("sim")).alias("x"))
             .select("h2", "sim2", "fine2", "n2", "lead", "r", "x.t", "x.k"), "keys")
         # what is known already is left out behind the filter, where few rows are left
-        hits = _hits(nodes, keys).join(known.select("h", "sim"), ["h", "sim"], "left_anti")
+        hits = _hits(packed, keys).join(known.select("h", "sim"), ["h", "sim"], "left_anti")
         families = keys.groupBy("t", "k", "lead").agg(F.max("r").alias("r"))
         near = hits.join(families, ["t", "k"]).where(_apart("sim", "lead") <= F.lit(HAMMING) + F.col("r")).drop("r")
         # texts of this likeness have lengths within the same bound
