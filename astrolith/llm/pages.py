@@ -10,7 +10,9 @@ import regex
 
 #: signs that break a word at a line end (hyphens of several sorts, = and ~)
 BREAKS = "-¬=~­‐‑–"
-_LINE_BREAK = regex.compile(rf"(?<=\p{{L}})[{regex.escape(BREAKS)}][ \t]*\n[ \t]*(?=\p{{L}})")
+_SIGN = f"[{regex.escape(BREAKS)}]"
+# the sign comes first in the pattern, so that the search can leap to it
+_LINE_BREAK = regex.compile(rf"{_SIGN}(?<=\p{{L}}{_SIGN})[ \t]*\n[ \t]*(?=\p{{L}})")
 
 
 def reading_order(text: str, xs: list[int] | None, ws: list[int] | None) -> list[str]:

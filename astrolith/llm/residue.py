@@ -106,10 +106,14 @@ FILLER_WORDS, SHORT, LETTERS = 12, 3, 4.5
 PAIRED = 6
 TEXT, MARKED, PAIR, FILLER = range(4)
 
-_SENTENCE = re.compile(r"(?<=[.!?:·])\s+|\s\|\s")
+_SENTENCE = re.compile(r"([.!?:·])\s+")
+_BAR = re.compile(r"\s\|\s")
 _BEGIN = re.compile(r"[A-Z0-9<©]")
 _NOT_WORD = re.compile(r"(?:[^\w\x1e]|_)+")
-_NUMBER = re.compile(r"\b\d+\b")
+_NUMBER = re.compile(r"\d+")
+_OTHER_SIGN = re.compile(r"[^\w\x00-\x7f]+")
+#: ASCII signs as blanks, but for the mark between segments
+_BLANKS = {i: " " for i in range(128) if not chr(i).isalnum() and chr(i) != "\x1e"}
 _CONFUSED = str.maketrans({**dict.fromkeys("ceoa0", "o"), **dict.fromkeys("hb6k", "h"), **dict.fromkeys("nuvmw", "n"), **dict.fromkeys("tflijr1!|:", "l"),
                            **dict.fromkeys("sz58", "s"), **dict.fromkeys("gqy9", "g"), **dict.fromkeys("dp", "d")})
 
@@ -118,13 +122,24 @@ _MARKS = re.compile("[\u0300-\u036f]+")
 
 
 def _squeeze(text: str) -> str:
-    """Lower case, Latin letters without accents, numbers alike, signs as single blanks."""
+    """Lower case, Latin letters without accents, numbers alike, signs as blanks."""
     low = text.lower()
     if not low.isascii():
         for a, b in (("ß", "ss"), ("ſ", "s"), ("æ", "ae"), ("œ", "oe")):
             low = low.replace(a, b)
-        low = _MARKS.sub("", unicodedata.normalize("NFKD", low))
-    return _NUMBER.sub("#", _NOT_WORD.sub(" ", low))
+        low = _OTHER_SIGN.sub(" ", _MARKS.sub("", unicodedata.normalize("NFKD", low)))
+    if low.isascii():
+        low = low.translate(_BLANKS)
+    else:
+        low = _NOT_WORD.sub(" ", low)
+    return _NUMBER.sub(_number, low)
+
+
+def _number(m: re.Match) -> str:
+    """``#`` for a number of its own, not for digits inside a word."""
+    a, b = m.span()
+    s = m.string
+    return m[0] if a and s[a - 1].isalnum() or b < len(s) and s[b].isalnum() else "#"
 
 
 def skeleton(node: str) -> str:
@@ -192,7 +207,7 @@ def _simhashes(skeletons: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def simhash(node: str) -> int:
     """Signed 64-bit SimHash of one node."""
-    return int(simhashes([skeleton(_squeeze(node).strip())])[0][0])
+    return int(simhashes([skeleton(" ".join(_squeeze(node).split()))])[0][0])
 
 
 def _trusted_mark(mark: str) -> bool:
@@ -239,10 +254,12 @@ def segments(text: str, xs=None, ws=None) -> list[tuple[str, bool, int]]:
     out = []
     if any(c in text for c in "{[<%@_$«") or "TK" in text:
         out = [(" ".join(fold(w) for w in m[0].split()), _trusted_mark(m[0]), MARKED) for m in MARK.finditer(flat)]
-    cut = _SENTENCE.sub("\x1e", flat)
+    cut = _SENTENCE.sub("\\1\x1e", flat)
+    if "|" in cut:
+        cut = _BAR.sub("\x1e", cut)
     run = []
     for raw, node in zip(cut.split("\x1e"), _squeeze(cut).split("\x1e")):
-        node = node.strip()
+        node = " ".join(node.split())
         if len(node) - node.count(" ") - node.count("#") >= MIN_LETTERS:
             sure = _filler(raw, node)
             run.append((_once(node), sure, FILLER if sure else TEXT))
@@ -449,7 +466,7 @@ def labelled(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _seeds(rows: DataFrame) -> DataFrame:
     """The seed notices as rows without a page."""
-    texts = [s for s in (_squeeze(x).strip() for x in SEEDS.split("\n")) if s]
+    texts = [s for s in (" ".join(_squeeze(x).split()) for x in SEEDS.split("\n")) if s]
     data = [(n, int(a), int(b)) for n, a, b in zip(texts, *simhashes([skeleton(n) for n in texts]))]
     spark = rows.sparkSession
     return spark.createDataFrame(data, "node string, sim long, fine long").select(
