@@ -118,6 +118,25 @@ class Forest:
         Nodes on or below a loop of chosen parents have on_loop true and no
         range, depth, root or path.
         """
+        out = self.up.join(self._positions(with_path), "id", "left")
+        names = self.nodes
+        out = (
+            out.join(names.select("id", F.col("key").alias("node_key")), "id")
+            .join(names.select(F.col("id").alias("parent"), F.col("key").alias("parent_key")), "parent", "left")
+            .join(names.select(F.col("id").alias("root"), F.col("key").alias("root_key")), "root", "left")
+        )
+        loop = F.col("ptr").isNotNull()
+        return out.select(
+            "node_key", "parent_key", "root_key",
+            F.when(~loop, F.col("depth")).alias("depth"),
+            "pre",
+            F.when(~loop, F.col("size")).alias("size"),
+            loop.cast("int").alias("on_loop"),
+            *(["path"] if with_path else []),
+        )
+
+    def _positions(self, with_path: bool = False) -> DataFrame:
+        """(id, pre): where the range of each finished node begins in its tree; on demand with its path."""
         put = self.scratch.put
         done = self.up.where(F.col("ptr").isNull())
         per_parent = done.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.count(F.lit(1)).alias("kids"))
@@ -157,22 +176,7 @@ class Forest:
             new = put(state.where(F.col("ptr").isNull()).unionByName(jumped), "down")
             self.scratch.drop(state)
             state = new
-        out = self.up.join(state.drop("ptr"), "id", "left")
-        names = self.nodes
-        out = (
-            out.join(names.select("id", F.col("key").alias("node_key")), "id")
-            .join(names.select(F.col("id").alias("parent"), F.col("key").alias("parent_key")), "parent", "left")
-            .join(names.select(F.col("id").alias("root"), F.col("key").alias("root_key")), "root", "left")
-        )
-        loop = F.col("ptr").isNotNull()
-        return out.select(
-            "node_key", "parent_key", "root_key",
-            F.when(~loop, F.col("depth")).alias("depth"),
-            "pre",
-            F.when(~loop, F.col("size")).alias("size"),
-            loop.cast("int").alias("on_loop"),
-            *(["path"] if with_path else []),
-        )
+        return state.drop("ptr")
 
     def distances(self) -> DataFrame:
         """(node_key, root_key, depth): fewest links from each node to each root
@@ -182,9 +186,10 @@ class Forest:
         Nodes with one chain of ancestors have the root of their tree and the
         number of nested-set ranges around them as depth (``range_depths``)."""
         put, drop = self.scratch.put, self.scratch.drop
-        single = self.up.where(F.col("ptr").isNull() & ~F.col("mixed")).select("id", "root")
         key = self.nodes.select("id", F.col("key").alias("node_key"))
-        plain = put(single.join(key, "id").join(range_depths(self.nested()), "node_key").select("id", "root", "depth"), "plain")
+        placed = put(self.up.join(self._positions(), "id").select("id", "root", "pre", "size", "mixed"), "placed")
+        depths = range_depths(placed, "root", "id")
+        plain = put(placed.where(~F.col("mixed")).select("id", "root").join(depths, "id"), "plain")
         part = self.up.where(F.col("ptr").isNotNull() | F.col("mixed")).select("id")
         part = put(part, "part")
         inside = self.links.join(part.withColumnRenamed("id", "child"), "child", "left_semi")
@@ -332,25 +337,25 @@ class Forest:
         return above.unionByName(named(pairs, "u")).unionByName(outside)
 
 
-def range_depths(nested: DataFrame) -> DataFrame:
-    """(node_key, depth) of every node of the forest from its nested-set ranges alone.
+def range_depths(nested: DataFrame, tree: str = "root_key", node: str = "node_key") -> DataFrame:
+    """(node, depth) of every node with a range, from the nested-set ranges alone.
 
     A sweep over the positions of each tree: a range opens at ``pre`` and closes
     at ``pre + size``, and the ranges open at a node's position, its own left
     out, are its ancestors.  Sums run within bins of BIN positions, and over the
     bins of a tree, so no task sweeps a whole tree.
     """
-    held = nested.where(F.col("on_loop") == 0).select("root_key", "node_key", "pre", "size")
-    marks = held.select("root_key", "node_key", F.col("pre").alias("at"), F.lit(1).alias("d")).unionByName(
-        held.select("root_key", F.lit(None).cast("string").alias("node_key"), (F.col("pre") + F.col("size")).alias("at"), F.lit(-1).alias("d"))
+    held = nested.where(F.col("pre").isNotNull()).select(tree, node, "pre", "size")
+    marks = held.select(tree, node, F.col("pre").alias("at"), F.lit(1).alias("d")).unionByName(
+        held.select(tree, F.lit(None).cast(held.schema[node].dataType).alias(node), (F.col("pre") + F.col("size")).alias("at"), F.lit(-1).alias("d"))
     ).withColumn("bin", F.floor(F.col("at") / BIN))
-    totals = marks.groupBy("root_key", "bin").agg(F.sum("d").alias("total"))
-    before = Window.partitionBy("root_key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("root_key", "bin", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("open"))
+    totals = marks.groupBy(tree, "bin").agg(F.sum("d").alias("total"))
+    before = Window.partitionBy(tree).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(tree, "bin", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("open"))
     # at one position ranges close before the next one opens
-    inside = Window.partitionBy("root_key", "bin").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(tree, "bin").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0)
     swept = marks.withColumn("here", F.sum("d").over(inside)).where(F.col("d") == 1)
-    return swept.join(starts, ["root_key", "bin"]).select("node_key", (F.col("open") + F.col("here") - 1).alias("depth"))
+    return swept.join(starts, [tree, "bin"]).select(node, (F.col("open") + F.col("here") - 1).alias("depth"))
 
 
 def descendants(nested: DataFrame, queries: DataFrame) -> DataFrame:
