@@ -325,7 +325,7 @@ def _band(n):
     return np.minimum(np.log(np.maximum(n, 1)) / np.log(_STEP), _BANDS - 1).astype(np.int64)
 
 
-_PACKED = (("h", np.int64), ("sim", np.int64), ("fine", np.int64), ("n", np.int32))
+_PACKED = (("h", np.int64), ("sim", np.int64), ("fine", np.int64), ("n", np.int32), ("n_pages", np.int64))
 
 
 def _packed(nodes: DataFrame) -> DataFrame:
@@ -338,11 +338,12 @@ def _packed(nodes: DataFrame) -> DataFrame:
                 names=[n for n, _ in _PACKED])
 
     names = [n for n, _ in _PACKED]
-    return nodes.select(*names).mapInArrow(run, ", ".join(f"{n} binary" for n in names))
+    # NULL pages stand for none: only trusted nodes may have none, and they are no open nodes
+    return nodes.select(*names[:-1], F.coalesce("n_pages", F.lit(0)).cast("long").alias("n_pages")).mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
 def _hits(packed: DataFrame, front_keys: DataFrame) -> DataFrame:
-    """(h, sim, fine, n, t, k): the keys of the packed nodes that a front node of fitting length has too.
+    """(h, sim, fine, n, n_pages, t, k): the keys of the packed nodes that a front node of fitting length has too.
 
     The front's keys become one bit map a table and band of lengths: 28 x 24 maps of 65,536 bits,
     5.5 MB whatever the data, which every task looks up for all tables at once.
@@ -373,9 +374,9 @@ def _hits(packed: DataFrame, front_keys: DataFrame) -> DataFrame:
                 ks.append(k[hit])
             pick = np.concatenate(rows)
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(c[pick]) for c in columns], pa.array(np.concatenate(ts)), pa.array(np.concatenate(ks))], names=["h", "sim", "fine", "n", "t", "k"])
+                [*[pa.array(c[pick]) for c in columns], pa.array(np.concatenate(ts)), pa.array(np.concatenate(ks))], names=[*(n for n, _ in _PACKED), "t", "k"])
 
-    return packed.mapInArrow(run, "h long, sim long, fine long, n int, t int, k int")
+    return packed.mapInArrow(run, "h long, sim long, fine long, n int, n_pages long, t int, k int")
 
 
 def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -431,18 +432,18 @@ def spread(rows: DataFrame, nodes: DataFrame, trusted: DataFrame, scratch: Scrat
         fits = F.least("n", "n2") * 2 >= LIKE * (F.col("n") + F.col("n2"))
         close = (_apart("sim", "sim2") <= HAMMING) & (_apart("fine", "fine2") <= FINE)
         pairs = put(near.join(keys, ["t", "k", "lead"]).where(close & fits)
-                    .select("h", "sim", "fine", "n", "h2", "sim2", "lead").distinct(), "pairs")
+                    .select("h", "sim", "fine", "n", "n_pages", "h2", "sim2", "lead").distinct(), "pairs")
         wanted = pairs.select("h", "sim").unionByName(pairs.select(F.col("h2").alias("h"), F.col("sim2").alias("sim"))).distinct()
         texts = put(rows.join(wanted, ["h", "sim"], "left_semi").groupBy("h", "sim").agg(F.min("node").alias("node")), "texts")
         # the nearest label first: most nodes need no other comparison
-        best = pairs.groupBy("h", "sim", "fine", "n").agg(F.min_by(F.struct("h2", "sim2", "lead"), F.struct(_apart("sim", "sim2"), "h2", "sim2")).alias("x")).select(
-            "h", "sim", "fine", "n", "x.h2", "x.sim2", "x.lead")
-        first = put(_linked(best, texts).select("h", "sim", "fine", "n", "lead"), "first")
+        own_columns = ["h", "sim", "fine", "n", "n_pages"]
+        best = pairs.groupBy(*own_columns).agg(F.min_by(F.struct("h2", "sim2", "lead"), F.struct(_apart("sim", "sim2"), "h2", "sim2")).alias("x")).select(
+            *own_columns, "x.h2", "x.sim2", "x.lead")
+        first = put(_linked(best, texts).select(*own_columns, "lead"), "first")
         others = _linked(pairs.join(first, ["h", "sim"], "left_anti"), texts)
-        second = others.groupBy("h", "sim", "fine", "n").agg(F.min_by("lead", F.struct(_apart("sim", "lead"), "lead")).alias("lead"))
+        second = others.groupBy(*own_columns).agg(F.min_by("lead", F.struct(_apart("sim", "lead"), "lead")).alias("lead"))
         turn += 1
-        news = first.unionByName(second)
-        news = nodes.select("h", "sim", "n_pages").join(news, ["h", "sim"]).withColumn("turn", F.lit(turn)).withColumn("off", F.lit(False))
+        news = first.unionByName(second).withColumn("turn", F.lit(turn)).withColumn("off", F.lit(False))
         grown = put(known.unionByName(news), "grown")
         own = F.sum(F.when(F.col("turn") == 0, F.col("n_pages")))
         # a family without pages of its own root is a seed's: nothing to compare it with
