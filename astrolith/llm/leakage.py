@@ -166,14 +166,20 @@ def _chosen(canon: Canon, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return at, t[at], s[at]
 
 
+def _reaches(a: str, b: str, least: float) -> bool:
+    """Whether the letters in common, whatever their order, allow this likeness."""
+    need = least * (len(a) + len(b)) / 2
+    return min(len(a), len(b)) >= need and sum(min(a.count(c), b.count(c)) for c in set(a)) >= need
+
+
 @lru_cache(1 << 16)
 def _like(a: str, b: str) -> float:
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
-    # a ratio below this bound is below LIKE whatever the letters are
-    if 2 * min(len(a), len(b)) < LIKE * (len(a) + len(b)):
+    # what is below this bound is below LIKE
+    if not _reaches(a, b, LIKE):
         return 0.0
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
@@ -202,7 +208,7 @@ def _same_slot(a: str, b: str) -> bool:
     x, y = _shape(a), _shape(b)
     if x == y:
         return True
-    return not a.isdigit() and min(len(x), len(y)) >= 5 and SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.85
+    return not a.isdigit() and min(len(x), len(y)) >= 5 and _reaches(x, y, 0.85) and SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.85
 
 
 @lru_cache(1 << 16)
